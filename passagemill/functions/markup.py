@@ -65,44 +65,54 @@ def aligned_cells(line: Column) -> Column:
     return F.filter(cells, lambda c: c != "")
 
 
-def _block_lines(rows: Column) -> Column:
-    """Lines of a finished run of wide rows: a Markdown table, or the row alone."""
+def _modal_width(rows: Column) -> Column:
+    """Most frequent number of cells; the smaller one wins a tie."""
     sizes = F.transform(rows, F.size)
-    # Most frequent width; the smaller one wins a tie.
     ranked = F.transform(F.array_distinct(sizes), lambda s: F.struct(
         F.size(F.filter(sizes, lambda t: t == s)).alias("n"), (-s).alias("minus_width")))
-    width = -F.array_max(ranked)["minus_width"]
-    fitted = F.transform(rows, lambda cells: F.when(F.size(cells) <= width, cells).otherwise(F.concat(
-        F.slice(cells, 1, width - 1),
-        F.array(F.array_join(F.slice(cells, width, F.greatest(F.size(cells) - width + 1, F.lit(1))), " ")))))
-    table = F.split(markdown_table(F.transform(fitted, lambda cells: F.concat(
-        cells, F.array_repeat(F.lit(""), F.greatest(width - F.size(cells), F.lit(0)))))), "\n")
-    return (F.when(F.size(rows) >= 2, table)
-            .when(F.size(rows) == 1, F.transform(rows, lambda cells: F.array_join(cells, " ")))
-            .otherwise(F.array().cast("array<string>")))
+    return -F.array_max(ranked)["minus_width"]
+
+
+def _fitted(cells: Column, width: Column) -> Column:
+    """Cells padded to the width; surplus cells join the last one."""
+    short = F.concat(cells, F.array_repeat(F.lit(""), F.greatest(width - F.size(cells), F.lit(0))))
+    long = F.concat(F.slice(cells, F.lit(1), width - 1), F.array(F.array_join(F.slice(cells, width, F.size(cells)), " ")))
+    return F.when(F.size(cells) > width, long).otherwise(short)
 
 
 def aligned_text_to_tables(column: Column | str) -> Column:
     """Turn runs of lines whose columns are aligned with blanks into Markdown tables.
 
-    A fold over the lines of one text; texts without a line of three cells are returned untouched.
+    A fold over the lines of one text gathers runs of wide rows, then every run is formatted; texts
+    without a line of three cells are returned untouched.
     """
     text = _col(column)
-    wide = F.transform(F.split(text, "\n"), lambda line: F.struct(line.alias("line"), aligned_cells(line).alias("cells")))
-    none = F.array().cast("array<array<string>>")
-    stop = F.array(F.struct(F.lit(None).cast("string").alias("line"), F.array().cast("array<string>").alias("cells")))
-    start = F.struct(F.array().cast("array<string>").alias("out"), none.alias("rows"))
+    lines = F.transform(F.split(text, "\n"), lambda line: F.struct(line.alias("line"), aligned_cells(line).alias("cells")))
+    no_rows = F.array().cast("array<array<string>>")
+    start = F.struct(F.array().cast("array<struct<line:string,rows:array<array<string>>>>").alias("done"), no_rows.alias("rows"))
 
-    def step(state: Column, item: Column) -> Column:
+    def gather(state: Column, item: Column) -> Column:
         is_row = F.size(item["cells"]) >= 3
-        flushed = F.concat(state["out"], F.when(F.size(state["rows"]) > 0, _block_lines(state["rows"]))
-                           .otherwise(F.array().cast("array<string>")))
-        closed = F.when(item["line"].isNull(), flushed).otherwise(F.array_append(flushed, item["line"]))
-        return F.struct(
-            F.when(is_row, state["out"]).otherwise(closed).alias("out"),
-            F.when(is_row, F.array_append(state["rows"], item["cells"])).otherwise(none).alias("rows"))
-
-    folded = F.aggregate(F.concat(wide, stop), start, step, lambda s: F.array_join(s["out"], "\n"))
+        run = F.struct(F.lit(None).cast("string").alias("line"), state["rows"].alias("rows"))
+        closed = F.when(F.size(state["rows"]) > 0, F.array_append(state["done"], run)).otherwise(state["done"])
+        plain = F.array_append(closed, F.struct(item["line"].alias("line"), no_rows.alias("rows")))
+        return F.struct(F.when(is_row, state["done"]).otherwise(plain).alias("done"),
+                        F.when(is_row, F.array_append(state["rows"], item["cells"])).otherwise(no_rows).alias("rows"))
+
+    runs = F.aggregate(lines, start, gather, lambda s: F.when(F.size(s["rows"]) > 0, F.array_append(
+        s["done"], F.struct(F.lit(None).cast("string").alias("line"), s["rows"].alias("rows")))).otherwise(s["done"]))
+    sized = F.transform(runs, lambda r: F.struct(r["line"].alias("line"), r["rows"].alias("rows"),
+                                                 F.when(F.size(r["rows"]) >= 2, _modal_width(r["rows"])).alias("width")))
+    row_text = lambda cells: F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
+
+    def shown(run: Column) -> Column:
+        rows = F.transform(run["rows"], lambda cells: row_text(_fitted(cells, run["width"])))
+        rule = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), run["width"]))
+        whole = F.concat(F.slice(rows, 1, 1), F.array(rule), F.slice(rows, F.lit(2), F.size(run["rows"])))
+        return F.coalesce(run["line"], F.when(run["width"].isNotNull(), F.array_join(whole, "\n")),
+                          F.array_join(F.get(run["rows"], F.lit(0)), " "))
+
+    folded = F.array_join(F.transform(sized, shown), "\n")
     has_wide_line = text.rlike("(?m)^[ \\t\\u00A0]*[^ \\t\\u00A0\\n]+(?:[ \\t\\u00A0][^ \\t\\u00A0\\n]+)*+[ \\t\\u00A0]{2,}"
                                "[^ \\t\\u00A0\\n]+(?:[ \\t\\u00A0][^ \\t\\u00A0\\n]+)*+[ \\t\\u00A0]{2,}[^ \\t\\u00A0\\n]")
     return F.when(has_wide_line, folded).otherwise(text)

@@ -79,14 +79,15 @@ def drop_elements(column: Column | str) -> Column:
     return F.regexp_replace(_col(column), f"(?is)<({names})[^>]*>.*?</\\1>", "")
 
 
-def html_to_text(column: Column | str, max_chars: int = 5000, tables: bool = True) -> Column:
-    """Readable text of an HTML page; the character limit is the operator's page budget."""
+def html_to_text(column: Column | str, max_chars: int | None = 5000, tables: bool = True) -> Column:
+    """Readable text of an HTML page, cut to a page budget; None keeps the whole text."""
     from .markup import tables_to_markdown
 
     html = tables_to_markdown(column) if tables else _col(column)
     text = F.regexp_replace(drop_elements(html), "(?s)<!--.*?-->", "")
     text = decode_entities(F.regexp_replace(text, "<[^>]+>", " "))
-    return F.substring(trim_all(normalize_ws(text)), 1, max_chars)
+    text = trim_all(normalize_ws(text))
+    return text if max_chars is None else F.substring(text, 1, max_chars)
 
 
 def snippet_text(column: Column | str) -> Column:
@@ -137,6 +138,41 @@ def sentences(column: Column | str) -> Column:
     return F.filter(F.transform(pieces, trim_all), lambda s: s != "")
 
 
+def safe_segments(column: Column | str) -> Column:
+    """End offsets of the pieces that can be shown on their own: after . ! ? before white space or the end,
+    after a newline, after a closed display formula; never inside a formula.
+
+    A fold over the marks of the text; offsets count characters from the start.
+    """
+    text = _col(column)
+
+    def step(state: Column, item: Column) -> Column:
+        piece = item["piece"]
+        at = state["at"] + F.length(piece)
+        bracket = (state["bracket"] + F.when(piece == "\\[", 1).otherwise(0)
+                   - F.when((piece == "\\]") & (state["bracket"] > 0), 1).otherwise(0))
+        paren = (state["paren"] + F.when(piece == "\\(", 1).otherwise(0)
+                 - F.when((piece == "\\)") & (state["paren"] > 0), 1).otherwise(0))
+        display = F.when(piece == "$$", ~state["display"]).otherwise(state["display"])
+        inline = F.when(piece == "$", ~state["inline"] & ~_digit_beside(item)).otherwise(state["inline"])
+        closed = (bracket == 0) & (paren == 0) & ~inline & ~display
+        following = F.when(item["after"] != "", item["after"]).otherwise(item["next"])
+        ends = (piece == "\\]") | (piece == "$$") | (piece == "\n") | (
+            piece.isin(".", "!", "?") & following.rlike("^(?:[ \\n\\r\\t]|\\z)"))
+        moved = F.struct(bracket.alias("bracket"), paren.alias("paren"), inline.alias("inline"), display.alias("display"))
+        rest = F.struct(*[state[c].alias(c) for c in ("bracket", "paren", "inline", "display")])
+        now = F.when(item["is_mark"], moved).otherwise(rest)
+        return F.struct(
+            at.alias("at"), *[now[c].alias(c) for c in ("bracket", "paren", "inline", "display")],
+            F.when(item["is_mark"] & closed & ends, F.array_append(state["out"], at)).otherwise(state["out"]).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("bracket"), F.lit(0).alias("paren"),
+                     F.lit(False).alias("inline"), F.lit(False).alias("display"),
+                     F.array().cast("array<int>").alias("out"))
+    marks = "(?s)(\\\\.|\\$\\$|\\$|[.!?]|\n)"
+    return F.aggregate(marked_pieces(text, marks), start, step, lambda s: F.array_distinct(s["out"]))
+
+
 def headings_to_bold(column: Column | str) -> Column:
     """Markdown heading lines become bold lines."""
     text = F.regexp_replace(_col(column), "(?m)^\\s*#{1,6}\\s*(.+?)\\s*#{0,6}\\s*$", "**$1**")
@@ -159,9 +195,27 @@ def split_commands(column: Column | str) -> Column:
     return F.when(_col(column).contains("\\"), text).otherwise(_col(column))
 
 
-def _dollar_pieces(text: Column) -> Column:
-    # Cut at every escaped dollar, double dollar and single dollar; odd pieces are the marks.
-    return F.split(F.regexp_replace(text, "(\\\\\\$|\\$\\$|\\$)", f"{_MARK}$1{_MARK}"), _MARK)
+def marked_pieces(text: Column, marks: str) -> Column:
+    """Text cut at every mark: array of (piece, before, after, next, is_mark) in order.
+
+    Folds read the neighbours from the element, so no lambda goes back to the whole array.
+    """
+    pieces = F.split(F.regexp_replace(text, marks, f"{_MARK}$1{_MARK}"), _MARK)
+    none = F.lit("")
+    shifted = lambda by: F.concat(F.slice(pieces, F.lit(by + 1), F.size(pieces)), F.array_repeat(none, by))
+    paired = F.zip_with(pieces, F.concat(F.array(none), F.slice(pieces, F.lit(1), F.size(pieces) - 1)),
+                        lambda piece, before: F.struct(piece.alias("piece"), before.alias("before")))
+    ahead = F.zip_with(shifted(1), shifted(2), lambda a, n: F.struct(
+        F.coalesce(a, none).alias("after"), F.coalesce(n, none).alias("next")))
+    both = F.zip_with(paired, ahead, lambda p, n: F.struct(
+        p["piece"].alias("piece"), p["before"].alias("before"), n["after"].alias("after"), n["next"].alias("next")))
+    return F.transform(both, lambda p, i: F.struct(
+        p["piece"].alias("piece"), p["before"].alias("before"), p["after"].alias("after"), p["next"].alias("next"),
+        (i % 2 == 1).alias("is_mark")))
+
+
+def _digit_beside(mark: Column) -> Column:
+    return mark["before"].rlike("\\p{N}\\z") | mark["after"].rlike("^\\p{N}")
 
 
 def escape_currency(column: Column | str) -> Column:
@@ -170,23 +224,16 @@ def escape_currency(column: Column | str) -> Column:
     A fold over the pieces between dollar marks carries one flag: is a formula open.
     """
     text = _col(column)
-    pieces = _dollar_pieces(text)
-    count = F.size(pieces)
-
-    def digit_beside(i: Column) -> Column:
-        return F.element_at(pieces, i).rlike("\\p{N}\\z") | F.element_at(pieces, i + 2).rlike("^\\p{N}")
 
-    def step(state: Column, i: Column) -> Column:
-        piece = F.element_at(pieces, i + 1)
-        is_single = (i % 2 == 1) & (piece == "$")
-        currency = is_single & ~state["open"] & digit_beside(i)
+    def step(state: Column, item: Column) -> Column:
+        single = item["is_mark"] & (item["piece"] == "$")
+        currency = single & ~state["open"] & _digit_beside(item)
         return F.struct(
-            F.when(is_single & ~currency, ~state["open"]).otherwise(state["open"]).alias("open"),
-            F.array_append(state["out"], F.when(currency, F.lit("\\$")).otherwise(piece)).alias("out"),
-        )
+            F.when(single & ~currency, ~state["open"]).otherwise(state["open"]).alias("open"),
+            F.array_append(state["out"], F.when(currency, F.lit("\\$")).otherwise(item["piece"])).alias("out"))
 
     start = F.struct(F.lit(False).alias("open"), F.array().cast("array<string>").alias("out"))
-    folded = F.aggregate(F.sequence(F.lit(0), count - 1), start, step, lambda s: F.array_join(s["out"], ""))
+    folded = F.aggregate(marked_pieces(text, "(\\\\\\$|\\$\\$|\\$)"), start, step, lambda s: F.array_join(s["out"], ""))
     return F.when(text.contains("$"), folded).otherwise(text)
 
 

@@ -31,8 +31,8 @@ def govern_calls(calls: DataFrame, max_calls: int = K.MAX_CALLS_PER_TURN, caps:
                  group_rows: int = GROUP_ROWS) -> DataFrame:
     """Decision per call: (turn_key, seq, attempt, decision, repeats).
 
-    Input (turn_key, seq, tool, args). Attempts beyond the total are refused and leave no trace; a repeated
-    signature is a duplicate; a tool beyond its cap is refused but its signature is remembered.
+    Input (turn_key, seq, tool, args). Attempts beyond the total are refused and leave no trace (repeats 0); a
+    repeated signature is a duplicate; a tool beyond its cap is refused but its signature is remembered.
     """
     groups = OrderedGroups(calls, ["turn_key"], ["seq"], group_rows).running("attempt", F.lit(1))
     rows = groups.plain()
@@ -48,7 +48,7 @@ def govern_calls(calls: DataFrame, max_calls: int = K.MAX_CALLS_PER_TURN, caps:
     early = early.withColumn("decision", decision)
     columns = ["turn_key", "seq", "attempt", "decision", "repeats"]
     return early.select(*columns).unionByName(
-        late.withColumn("decision", F.lit("total_budget")).withColumn("repeats", F.lit(None).cast("int")).select(*columns))
+        late.withColumn("decision", F.lit("total_budget")).withColumn("repeats", F.lit(0)).select(*columns))
 
 
 def loop_guard(calls: DataFrame, window_seconds: float = K.LOOP_WINDOW_SECONDS, threshold: int = K.LOOP_THRESHOLD,

@@ -199,7 +199,7 @@ def top_chunks(queries: DataFrame, chunks: DataFrame, k: int = 3, method: str =
     shares a key always beats one that does not, so the first 2k passages of each class are enough to
     complete a query whose own matches do not fill its list.
     """
-    profile = query_profile(spread(queries, "query_id"), method)
+    profile = checkpointed(query_profile(spread(queries, "query_id"), method))
     # One shuffle puts all keys of a passage into one task; what follows keeps that partitioning.
     passages = passage_profile(chunks.repartition(*CHUNK_ID), method)
     by_query = Window.partitionBy("query_id").orderBy(*rank_order())

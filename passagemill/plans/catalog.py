@@ -2,5 +2,6 @@
 
 from __future__ import annotations
 
-from . import text_queries  # noqa: F401
+from . import retrieval_queries, table_queries, text_queries  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
+from .retrieval_queries import flagship  # noqa: F401

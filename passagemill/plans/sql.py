@@ -118,6 +118,15 @@ def sentences(x: str) -> str:
     return f"list_filter(list_transform(string_split({marked}, '\uFDD0'), lambda s: {trim('s')}), lambda s: s <> '')"
 
 
+def word_pieces(x: str) -> str:
+    """Words with what follows each."""
+    return f"regexp_extract_all({x}, '[\\p{{L}}\\p{{N}}]+[^\\p{{L}}\\p{{N}}]*')"
+
+
+def first_words(x: str, pieces: str, n: int) -> str:
+    return f"regexp_extract({x}, '^[^\\p{{L}}\\p{{N}}]*') || array_to_string({pieces}[1:{n}], '')"
+
+
 def unnest_at(sql_list: str, at: str, value: str) -> str:
     """Select items that unnest a list with zero-based positions."""
     return f"unnest(range(len({sql_list}))) AS {at}, unnest({sql_list}) AS {value}"
@@ -139,7 +148,7 @@ def scored_pairs(queries: str, passages: str, method: str = "overlap") -> str:
         ", pn AS (SELECT doc_id, chunk_no, sqrt(sum(tf * tf)) AS pn FROM pt GROUP BY 1, 2)")
     part = "coalesce(m.base, 0)" if method == "overlap" else "coalesce(m.base / (qn.qn * pn.pn), 0)"
     norm_joins = "" if method == "overlap" else (
-        " LEFT JOIN qn USING (query_id) LEFT JOIN pn ON pn.doc_id = pf.doc_id AND pn.chunk_no = pf.chunk_no")
+        " LEFT JOIN qn ON qn.query_id = qf.query_id LEFT JOIN pn ON pn.doc_id = pf.doc_id AND pn.chunk_no = pf.chunk_no")
     usable = "qf.has_terms" if method == "overlap" else "qf.has_terms AND pn.pn IS NOT NULL"
     shared = "len(list_intersect(qf.{0}, pf.{0}))"
     figure = (f"(CASE WHEN {shared.format('figures')} > 0 THEN {shared.format('figures')} * {K.FIGURE_MATCH_BONUS} + "

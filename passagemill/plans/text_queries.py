@@ -254,11 +254,12 @@ def html_tables(spark, d):
 
 
 @query("aligned_tables", """
-WITH l AS (SELECT l_orderkey AS doc_id, l_linenumber AS n, count(*) OVER (PARTITION BY l_orderkey) AS c,
-  CAST(l_partkey AS VARCHAR) AS a, CAST(l_suppkey AS VARCHAR) AS b FROM lineitem)
-SELECT doc_id, 'intro text' || chr(10) || '| Part name | Supplier | Line |' || chr(10) || '| --- | --- | --- |' || chr(10) ||
-  string_agg('| ' || a || ' | ' || b || ' | ' || n || CASE WHEN n = 4 THEN ' extra' ELSE '' END || ' |', chr(10) ORDER BY n, CAST(a AS INT), CAST(b AS INT))
-  || chr(10) || 'prose' || chr(10) || 'lone wide line' || chr(10) || 'end' AS text FROM l GROUP BY doc_id""")
+WITH l AS (SELECT l_orderkey AS doc_id, l_linenumber AS n, l_partkey AS a, l_suppkey AS b,
+  2 * sum(CASE WHEN l_linenumber = 4 THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey) > count(*) OVER (PARTITION BY l_orderkey) + 1 AS wide FROM lineitem)
+SELECT doc_id, 'intro text' || chr(10) || CASE WHEN any_value(wide) THEN '| Part name | Supplier | Line |  |' || chr(10) || '| --- | --- | --- | --- |'
+    ELSE '| Part name | Supplier | Line |' || chr(10) || '| --- | --- | --- |' END || chr(10) ||
+  string_agg('| ' || a || ' | ' || b || ' | ' || n || CASE WHEN n = 4 THEN CASE WHEN wide THEN ' | extra' ELSE ' extra' END WHEN wide THEN ' | ' ELSE '' END
+    || ' |', chr(10) ORDER BY n, a, b) || chr(10) || 'prose' || chr(10) || 'lone wide line' || chr(10) || 'end' AS text FROM l GROUP BY doc_id""")
 def aligned_tables(spark, d):
     """One text per order: a table aligned with blanks, one row with a surplus cell, a lone wide line."""
     line = F.concat(F.col("l_partkey"), F.lit("    "), F.col("l_suppkey"), F.lit("\t  "), F.col("l_linenumber"),
@@ -327,8 +328,8 @@ def extract_citation_links(spark, d):
 
 
 @query("truncate_words", f"""
-SELECT doc_id, CASE WHEN regexp_matches(text, '^(?:[^\\p{{L}}\\p{{N}}]*[\\p{{L}}\\p{{N}}]+){{60}}[^\\p{{L}}\\p{{N}}]+[\\p{{L}}\\p{{N}}]')
-  THEN {Q.trim("regexp_extract(text, '^((?:[^\\p{L}\\p{N}]*[\\p{L}\\p{N}]+){60}[^\\p{L}\\p{N}]*)', 1)")} ELSE text END AS text FROM documents""")
+WITH w AS (SELECT doc_id, text, {Q.word_pieces('text')} AS l FROM documents)
+SELECT doc_id, CASE WHEN len(l) > 60 THEN {Q.trim(Q.first_words('text', 'l', 60))} ELSE text END AS text FROM w""")
 def truncate_words(spark, d):
     return documents(spark, d).select("doc_id", X.truncate_words("text", 60).alias("text"))
 

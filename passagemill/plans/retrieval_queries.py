@@ -9,6 +9,7 @@ from ..operators import chunking as C, scoring as S, selection as Z
 from ..scale import spread
 from ..session import table
 from . import jobs, sql as Q
+from .text_queries import chunks_sql
 from .registry import USER_TURNS_SQL, WHOLE_DOCUMENTS_SQL, query, user_turns, whole_documents
 
 _RANK = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, n_chars DESC, doc_id, chunk_no)"
@@ -292,7 +293,18 @@ def flagship(spark, directory):
     return jobs.cite_best(first, C.chunk(documents_for_chunks(spark, directory)))
 
 
-query("flagship")(flagship)
+_FIRST_TURNS = "SELECT conv_id AS query_id, arg_min(text, turn) AS query FROM conversations WHERE role = 'user' GROUP BY conv_id"
+_CHUNKS = ("SELECT doc_id, CAST(chunk_no AS INT) AS chunk_no, source, 'https://' || source || '.example.org/' || (doc_id % 10) AS url, "
+           f"CAST(doc_id % 10 AS INT) AS page, text FROM ({chunks_sql(720, 120)})")
+query("flagship", f"WITH {Q.scored_pairs(_FIRST_TURNS, _CHUNKS)} {_CITED.format(_TOP)}")(flagship)
+
+
+@query("select_chunks", f"{_packed('SELECT item_id AS query_id, text AS query FROM benchmark', _CHUNKS, _BUDGET)} SELECT query_id, doc_id, chunk_no, position FROM picked")
+def select_chunks(spark, d):
+    """Chunks packed for every benchmark item."""
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    found = Z.select_context(asked, C.chunk(documents_for_chunks(spark, d)), _BUDGET)
+    return found.select("query_id", "doc_id", "chunk_no", "position")
 
 
 @query("chat_turns")

@@ -107,14 +107,14 @@ g AS (SELECT *, len(list_intersect(terms, own)) AS n_shared FROM f WHERE seen =
 n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS n FROM g WHERE len(own) = 0 OR n_shared / (len(terms) + len(own) - n_shared) < 0.75)
 SELECT query_id, n AS pos, query FROM n WHERE n <= 3""")
 def clean_derived_queries(spark, d):
-    """Lines of each thread as proposals, all of them twice: as a list item and in capitals, with links between."""
+    """Lines of each thread as proposals, all of them twice: as a quoted item and as a numbered one, with links between."""
     turns = conversations(spark, d).filter(F.col("role") != "system")
     said = turns.groupBy(F.col("conv_id").alias("query_id")).agg(
         F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("m"))
     texts = F.transform("m", lambda m: m["text"])
     lines = F.transform(F.split(F.array_join(texts, "\n"), "\n"), lambda l, i: F.concat(
         F.when(F.btrim(l) == "", l).otherwise(F.concat(F.lit(" - \""), F.btrim(l), F.lit("\""))),
-        F.lit("\n"), F.when(i % 3 == 0, "https://x.example.org/a").otherwise(F.upper(l))))
+        F.lit("\n"), F.when(i % 3 == 0, "https://x.example.org/a").otherwise(F.concat(F.lit("2) "), l))))
     return M.clean_derived_queries(said.select("query_id", F.get(texts, F.lit(0)).alias("original"),
                                                F.array_join(lines, "\n").alias("raw")))
 

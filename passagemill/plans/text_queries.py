@@ -409,20 +409,57 @@ _BLOCKS = f"list_filter(regexp_split_to_array({Q.trim(Q.normalized('text'))}, '\
 _LINES = f"list_filter(list_transform(string_split(block, chr(10)), lambda l: {Q.trim('l')}), lambda l: l <> '')"
 
 
-@query("chunk_units", f"""
-WITH b AS (SELECT doc_id, {_BLOCKS} AS blocks FROM documents),
+_UNITS = f"""
+b AS (SELECT doc_id, {_BLOCKS} AS blocks FROM documents),
 e AS (SELECT doc_id, {Q.unnest_at('blocks', 'section_id', 'block')} FROM b),
 s AS (SELECT doc_id, section_id, {Q.sentences('block')} AS sents, {_LINES} AS lines, {Q.trim('block')} AS block FROM e),
 u AS (SELECT doc_id, section_id, CASE WHEN len(sents) >= 2 THEN 'sentence' ELSE 'line' END AS kind,
   CASE WHEN len(sents) >= 2 THEN sents WHEN len(lines) >= 2 THEN lines ELSE [block] END AS l FROM s),
-x AS (SELECT doc_id, section_id, kind, {Q.unnest_at('l', 'i', 'text')} FROM u)
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY section_id, i) - 1 AS unit_no, section_id, kind, text FROM x""")
+x AS (SELECT doc_id, section_id, kind, {Q.unnest_at('l', 'i', 'text')} FROM u),
+units AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY section_id, i) - 1 AS unit_no, section_id, kind, text FROM x)"""
+
+
+@query("chunk_units", f"WITH {_UNITS} SELECT * FROM units")
 def chunk_units(spark, d):
     """Units of all documents; the limit is beyond every text, so none is split."""
     return C.chunk_units(documents(spark, d), 2_000_000_000)
 
 
-@query("chunk")
+def chunks_sql(limit: int, overlap: int) -> str:
+    """Select of all document chunks. Long units of these documents hold no sentence end or newline,
+    so the only cuts are before a word or at the limit."""
+    back = limit // 5
+    tail = f"substr(text, start + {limit - back + 2}, {back})"
+    cut = f"""CASE WHEN length(text) - start <= {limit} THEN length(text)
+      WHEN regexp_matches(substr(text, start + {limit}, 2), '^\\p{{Ll}}\\p{{Ll}}$') THEN
+        CASE WHEN regexp_matches({tail}, '\\s') THEN start + {limit - back} + length(regexp_extract({tail}, '(?s)^(.*\\s)', 1)) + 1
+        ELSE start + {limit - back} END
+      ELSE start + {limit} END"""
+    return f"""WITH RECURSIVE {_UNITS},
+starts AS (SELECT doc_id, unit_no, section_id, text, 0 AS k, CAST(0 AS BIGINT) AS start FROM units),
+cuts AS (SELECT *, {cut} AS stop FROM starts
+  UNION ALL SELECT *, {cut} AS stop FROM (SELECT doc_id, unit_no, section_id, text, k + 1 AS k, stop AS start FROM cuts WHERE stop < length(text))),
+parts AS (SELECT doc_id, unit_no, section_id, k, {Q.trim('substr(text, start + 1, stop - start)')} AS text FROM cuts),
+n AS (SELECT doc_id, section_id, text, length(text) AS len, row_number() OVER w - 1 AS i,
+  CASE WHEN lag(section_id) OVER w = section_id THEN 1 ELSE 2 END AS gap,
+  lag(section_id) OVER w = section_id AS same, unit_no FROM parts WHERE text <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY unit_no, k)),
+kinds AS (SELECT n.*, units.kind, sum(gap + len) OVER (PARTITION BY doc_id ORDER BY i) AS upto, max(i) OVER (PARTITION BY doc_id) AS final
+  FROM n JOIN units USING (doc_id, unit_no)),
+fits AS (SELECT a.doc_id, a.i, a.final, max(b.i) AS last FROM kinds a JOIN kinds b ON a.doc_id = b.doc_id AND b.i >= a.i
+  AND (b.i = a.i OR b.upto - a.upto + a.len <= {limit}) GROUP BY ALL),
+backs AS (SELECT a.doc_id, a.i, min(b.i) AS back FROM kinds a JOIN kinds b ON a.doc_id = b.doc_id AND b.i <= a.i
+  AND (b.i = a.i OR a.upto - b.upto + b.len <= {overlap}) GROUP BY ALL),
+ranges AS (SELECT doc_id, 0 AS chunk_no, i AS first, last, final FROM fits WHERE i = 0
+  UNION ALL SELECT r.doc_id, r.chunk_no + 1, f.i, f.last, f.final FROM ranges r JOIN backs b ON b.doc_id = r.doc_id AND b.i = r.last
+  JOIN fits f ON f.doc_id = r.doc_id AND f.i = CASE WHEN r.last = r.first THEN r.last + 1 WHEN b.back <= r.first THEN r.last ELSE b.back END
+  WHERE r.last < r.final),
+chunks AS (SELECT r.doc_id, r.chunk_no, string_agg(CASE WHEN k.i = r.first THEN '' WHEN NOT k.same THEN chr(10) || chr(10)
+  WHEN k.kind = 'sentence' THEN ' ' ELSE chr(10) END || k.text, '' ORDER BY k.i) AS text
+  FROM ranges r JOIN kinds k ON k.doc_id = r.doc_id AND k.i BETWEEN r.first AND r.last GROUP BY ALL)
+SELECT doc_id, chunk_no, source, lang, c.text, length(c.text) AS n_chars FROM chunks c JOIN documents d USING (doc_id)"""
+
+
+@query("chunk", chunks_sql(720, 120))
 def chunk(spark, d):
     return C.chunk(documents(spark, d).select("doc_id", "source", "lang", "text"))
 

@@ -6,6 +6,7 @@ holds a large share of the rows is no problem.
 
 from __future__ import annotations
 
+import math
 import unicodedata
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -147,28 +148,47 @@ def copies(df: DataFrame) -> DataFrame:
 
 
 def _prefix_join(groups: DataFrame, threshold: float) -> DataFrame:
-    """Similar pairs among distinct term sets (id, terms)."""
-    size = F.size("terms")
+    """Similar pairs among distinct term sets (id, terms).
+
+    Terms are joined as hashes (a collision only adds a candidate) together with a length class, so sets
+    of unlike size never meet; the position of the shared term bounds what can still be shared.
+    """
     # Rarest terms first; the order only has to be the same for all sets.
-    frequency = groups.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    long = groups.select("id", size.alias("n"), F.explode("terms").alias("term")).join(frequency, "term")
-    ordered = long.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("by_rarity"))
+    hashed = checkpointed(groups.select("id", F.transform("terms", lambda t: F.xxhash64(t)).alias("terms")))
+    frequency = hashed.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # A term of one set only cannot be shared: it counts for the size, not for the join.
+    shared = frequency.filter(F.col("df") > 1)
+    long = hashed.select("id", F.size("terms").alias("n"), F.explode("terms").alias("term")).join(shared, "term")
+    ordered = long.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "term"))).alias("by_rarity"))
     ordered = checkpointed(ordered.select("id", "n", F.transform("by_rarity", lambda t: t["term"]).alias("terms")))
-    keep = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
-    prefix = ordered.select("id", "n", F.posexplode(F.slice("terms", F.lit(1), keep.cast("int"))).alias("at", "term"))
-    a = prefix.select(F.col("id").alias("id_a"), F.col("n").alias("n_a"), "term", F.col("at").alias("at_a"))
-    b = prefix.select(F.col("id").alias("id_b"), F.col("n").alias("n_b"), "term", F.col("at").alias("at_b"))
+    n_alone = F.col("n") - F.size("terms")
+    keep = F.greatest(F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1 - n_alone, F.lit(0)).cast("int")
+    size_class = F.floor(F.log(F.col("n")) / F.lit(-math.log(threshold)) + 1e-9).cast("int")
+    prefix = ordered.select("id", "n", n_alone.alias("alone"), size_class.alias("size_class"),
+                            F.posexplode(F.slice("terms", F.lit(1), keep)).alias("at", "term"))
+    side = lambda s: [F.col("id").alias(f"id_{s}"), F.col("n").alias(f"n_{s}"), (F.col("at") + F.col("alone")).alias(f"at_{s}")]
+    # Sizes within the threshold lie in the same class or in neighbouring ones.
+    a = prefix.select(*side("a"), "term", "size_class")
+    b = prefix.select(*side("b"), "term", F.explode(F.array(*[F.col("size_class") + i for i in (-1, 0, 1)])).alias("size_class"))
     # What can still be shared from these positions on must reach the overlap the threshold asks for.
-    needed = F.lit(threshold) / (1 + threshold) * (F.col("n_a") + F.col("n_b")) - 1e-9
+    needed = F.lit(threshold / (1 + threshold)) * (F.col("n_a") + F.col("n_b")) - 1e-9
     most = F.least("at_a", "at_b") + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    found = (a.join(b, "term")
+    found = (a.join(b, ["term", "size_class"])
              .filter((F.col("id_a") < F.col("id_b"))
                      & (F.col("n_a") >= F.col("n_b") * threshold - 1e-9) & (F.col("n_b") >= F.col("n_a") * threshold - 1e-9)
                      & (most >= needed))
-             .select("id_a", "id_b").distinct())
-    pairs = (found.join(ordered.select(F.col("id").alias("id_a"), F.col("terms").alias("t_a")), "id_a")
-             .join(ordered.select(F.col("id").alias("id_b"), F.col("terms").alias("t_b")), "id_b"))
-    return (pairs.withColumn("similarity", F.round(jaccard(F.col("t_a"), F.col("t_b")), 9))
+             .groupBy("id_a", "id_b").agg(F.count(F.lit(1)).alias("_hits")))
+    texts = groups.select("id", "terms")
+    pairs = (found.join(ordered.select(F.col("id").alias("id_a"), "n", F.col("terms").alias("h_a")), "id_a")
+             .withColumnRenamed("n", "n_a")
+             .join(ordered.select(F.col("id").alias("id_b"), "n", F.col("terms").alias("h_b")), "id_b")
+             .withColumnRenamed("n", "n_b"))
+    # The hashes decide almost always; only pairs they accept are compared term by term.
+    both = F.size(F.array_intersect("h_a", "h_b"))
+    close = pairs.filter(both >= F.lit(threshold / (1 + threshold)) * (F.col("n_a") + F.col("n_b")) - 1e-6).select("id_a", "id_b")
+    exact = (close.join(texts.select(F.col("id").alias("id_a"), F.col("terms").alias("t_a")), "id_a")
+             .join(texts.select(F.col("id").alias("id_b"), F.col("terms").alias("t_b")), "id_b"))
+    return (exact.withColumn("similarity", F.round(jaccard(F.col("t_a"), F.col("t_b")), 9))
             .filter(F.col("similarity") >= threshold).select("id_a", "id_b", "similarity"))
 
 

@@ -25,6 +25,9 @@ HOT_KEY_ROWS = 1_000_000
 HOT_KEY_PARTS = 64
 # Intent bits of a query.
 Q_TERMS, Q_NUMBERS, Q_ANY_NUMBER, Q_EQUATION, Q_REFS, Q_FIGURE = 1, 2, 4, 8, 16, 32
+INTENTS = 64
+# Kinds of shared keys that bring more than their weight.
+_E, _F, _P = 1, 2, 4
 
 
 KEY_TYPE = "array<struct<key:string,weight:double>>"
@@ -93,13 +96,15 @@ def passage_profile(chunks: DataFrame, method: str = "overlap") -> DataFrame:
     profile = with_term_weights(chunks.select(*CHUNK_ID, "source", "page", "text"), "text", method)
     # Only the cosine score is zero for a passage without terms.
     usable = F.size("terms") > 0 if method == "cosine" else F.lit(True)
-    return profile.select(
+    # Computed once and after the shuffle: a filter on the keys must not move them into the scan.
+    profile = profile.select(
         *CHUNK_ID, F.length("text").alias("n_chars"), entry_length().alias("entry_len"), "norm",
         _bits((F.length("text") > K.LONG_CHUNK_CHARS, _LONG), (feat.any_number("text"), _NUMBER),
               (feat.formula_syntax("text"), _FORMULA), (feat.figure_cue("text"), _FIGURE),
               (usable, _TERMS)).alias("class"),
         F.concat("terms", _prefixed("n", feat.numeric_tokens("text")), _prefixed("e", feat.equation_references("text")),
                  _prefixed("f", feat.figure_references("text")), _prefixed("p", page)).alias("keys"))
+    return computed(profile, keys=F.col("keys"))
 
 
 def entry_length() -> Column:
@@ -115,29 +120,38 @@ def _asks(bit: int) -> Column:
     return F.col("intents").bitwiseAND(F.lit(bit)) != 0
 
 
+def _class_bonus(intents: int, cls: int) -> float:
+    """Score of a passage of a class without shared keys, for a query with these intents."""
+    if not intents & Q_TERMS or not cls & _TERMS:
+        return 0.0
+    wanted = ((True, _LONG, K.LONG_CHUNK_BONUS), (intents & Q_ANY_NUMBER, _NUMBER, K.NUMBER_PRESENCE_BONUS),
+              (intents & Q_EQUATION and not intents & Q_REFS, _FORMULA, K.EQUATION_PRESENCE_BONUS),
+              (intents & Q_FIGURE, _FIGURE, K.FIGURE_PRESENCE_BONUS))
+    return round(sum(bonus for asked, bit, bonus in wanted if asked and cls & bit), 9)
+
+
 def class_score() -> Column:
-    """Score of a passage that shares no key with the query."""
-    return score_column(F.lit(0.0), F.lit(0), F.lit(0), F.lit(0), F.lit(0))
-
-
-def score_column(base: Column, numbers: Column, refs: Column, figures: Column, pages: Column) -> Column:
-    """Base score plus the length, number, equation and figure bonuses."""
-    length = F.when(_has(_LONG), K.LONG_CHUNK_BONUS).otherwise(0.0)
-    number = (F.when(_asks(Q_NUMBERS), numbers * F.lit(K.NUMBER_MATCH_BONUS))
-              .when(_asks(Q_ANY_NUMBER) & _has(_NUMBER), K.NUMBER_PRESENCE_BONUS).otherwise(0.0))
-    formula = F.when(_has(_FORMULA), K.EQUATION_FORMULA_BONUS).otherwise(0.0)
-    equation = (
-        F.when(~_asks(Q_EQUATION), 0.0)
-        .when(_asks(Q_REFS), F.when(refs > 0, refs * F.lit(K.EQUATION_MATCH_BONUS) + formula).otherwise(0.0))
-        .otherwise(F.when(_has(_FORMULA), K.EQUATION_PRESENCE_BONUS).otherwise(0.0)))
+    """Score of a passage that shares no key with the query, looked up by (intents, class)."""
+    table = [_class_bonus(i, c) for i in range(INTENTS) for c in range(CLASSES)]
+    return F.get(F.lit(table), F.col("intents") * CLASSES + F.col("class"))
+
+
+def key_weights() -> dict[str, float]:
+    """What one shared key of each kind adds; terms add the product of their weights."""
+    return {"n": K.NUMBER_MATCH_BONUS, "e": K.EQUATION_MATCH_BONUS, "f": K.FIGURE_MATCH_BONUS, "p": K.FIGURE_PAGE_BONUS}
+
+
+def score_column(shared: Column, kinds: Column) -> Column:
+    """Score from the summed weights of the shared keys and the kinds of keys among them."""
+    found = lambda bit: kinds.bitwiseAND(F.lit(bit)) != 0
     caption = F.when(_has(_FIGURE), K.FIGURE_CAPTION_BONUS).otherwise(0.0)
-    shared = (F.when(figures > 0, figures * F.lit(K.FIGURE_MATCH_BONUS) + caption).otherwise(0.0)
-              + F.when(pages > 0, F.lit(K.FIGURE_PAGE_BONUS) + caption).otherwise(0.0))
-    figure = (F.when(~_asks(Q_FIGURE), 0.0).when(shared > 0, shared)
-              .otherwise(F.when(_has(_FIGURE), K.FIGURE_PRESENCE_BONUS).otherwise(0.0)))
-    total = base + length + number + equation + figure
+    formula = F.when(found(_E) & _has(_FORMULA), K.EQUATION_FORMULA_BONUS).otherwise(0.0)
+    captions = F.when(found(_F), caption).otherwise(0.0) + F.when(found(_P), caption).otherwise(0.0)
+    # A match replaces the bonus for a mere figure mark.
+    instead = F.when(found(_F | _P) & _has(_FIGURE), K.FIGURE_PRESENCE_BONUS).otherwise(0.0)
+    special = F.when(kinds > 0, formula + captions - instead).otherwise(0.0)
     # Sums of the same bonuses must compare equal whatever the order of addition.
-    return F.round(F.when(_asks(Q_TERMS) & _has(_TERMS), total).otherwise(0.0), 9)
+    return F.when(_has(_TERMS), F.round(shared + class_score() + special, 9)).otherwise(0.0)
 
 
 def class_bound() -> Column:
@@ -155,22 +169,26 @@ def match_pairs(profile: DataFrame, passages: DataFrame, max_broadcast: int = BR
     key, keys found in very many passages being split into parts first.
     """
     kind = F.substring("k.key", 1, 1)
-    flag = lambda prefix: F.when(kind == prefix, 1).otherwise(0).alias(prefix)
+    weights, bits = key_weights(), {"e": _E, "f": _F, "p": _P}
+    weight = F.when(kind == "t", F.col("k.weight") / F.col("norm"))
+    for name, value in weights.items():
+        weight = weight.when(kind == name, value)
+    mark = F.lit(0)
+    for name, bit in bits.items():
+        mark = F.when(kind == name, bit).otherwise(mark)
     query_keys = profile.select("query_id", "intents", "norm", F.explode("keys").alias("k")).select(
-        "query_id", "intents", F.col("k.key").alias("key"),
-        F.when(kind == "t", F.col("k.weight") / F.col("norm")).otherwise(0.0).alias("q_weight"),
-        flag("n"), flag("e"), flag("f"), flag("p"))
+        "query_id", "intents", F.col("k.key").alias("key"), weight.alias("q_weight"), mark.alias("kind"))
     ids = [*CHUNK_ID, "n_chars", "entry_len", "class"]
     passage_keys = passages.select(*ids, "norm", F.explode("keys").alias("k")).select(
-        *ids, F.col("k.key").alias("key"), F.when(kind == "t", F.col("k.weight") / F.col("norm")).otherwise(0.0).alias("weight"))
+        *ids, F.col("k.key").alias("key"),
+        F.when(kind == "t", F.col("k.weight") / F.col("norm")).otherwise(1.0).alias("weight"))
     if is_small(query_keys, max_broadcast):
         hits = passage_keys.join(F.broadcast(query_keys), "key")
     else:
         hits = _split_hot_keys(passage_keys, query_keys)
     pairs = hits.groupBy("query_id", "intents", *ids).agg(
-        F.sum(F.col("q_weight") * F.col("weight")).alias("base"), *[F.sum(c).alias(c) for c in "nefp"])
-    score = score_column(F.col("base"), *[F.col(c) for c in "nefp"])
-    return pairs.select("query_id", *ids, "intents", score.alias("score"))
+        F.sum(F.col("q_weight") * F.col("weight")).alias("shared"), F.bit_or("kind").alias("kinds"))
+    return pairs.select("query_id", *ids, "intents", score_column(F.col("shared"), F.col("kinds")).alias("score"))
 
 
 def _split_hot_keys(passage_keys: DataFrame, query_keys: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..scale import computed
 from ..session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,8 +35,9 @@ def user_turns(spark: SparkSession, directory: str) -> DataFrame:
 
 def whole_documents(spark: SparkSession, directory: str) -> DataFrame:
     """Every document as one passage: (doc_id, chunk_no, source, url, page, text)."""
-    return table(spark, directory, "documents").select(
-        "doc_id", F.lit(0).alias("chunk_no"), "source",
+    # A computed zero: a literal would vanish from the partitioning by (doc_id, chunk_no).
+    return computed(table(spark, directory, "documents"), chunk_no=F.lit(0)).select(
+        "doc_id", "chunk_no", "source",
         F.concat(F.lit("https://"), F.col("source"), F.lit(".example.org/"), F.col("doc_id") % 10).alias("url"),
         (F.col("doc_id") % 10).cast("int").alias("page"), "text")
 

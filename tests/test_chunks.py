@@ -1,7 +1,5 @@
 """Chunking: goldens and properties."""
 
-import random
-
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 

@@ -36,14 +36,16 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder the cluster names; only an unset local session gets its own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
+    if context.getCheckpointDir() is not None:
+        return
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         context.setCheckpointDir(named)
-    elif context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    elif context.master.startswith("local"):
         context.setCheckpointDir(tempfile.mkdtemp(prefix="passagemill-ckpt-"))
+    else:
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

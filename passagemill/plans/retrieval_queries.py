@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K, features as feat
 from ..operators import chunking as C, scoring as S, selection as Z
 from ..scale import spread
-from ..session import table
+from ..session import checkpointed, table
 from . import jobs, sql as Q
 from .text_queries import chunks_sql
 from .registry import USER_TURNS_SQL, WHOLE_DOCUMENTS_SQL, query, user_turns, whole_documents
@@ -229,11 +229,12 @@ def rerank_results(spark, d):
 def search_corpus(spark, d):
     """Replies for every benchmark item over chunked documents."""
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return Z.search_corpus(asked, C.chunk(documents_for_chunks(spark, d)), 500)
+    return Z.search_corpus(asked, stored_chunks(spark, d), 500)
 
 
-def documents_for_chunks(spark, d):
-    return spread(whole_documents(spark, d).drop("chunk_no"), "doc_id")
+def stored_chunks(spark, d):
+    """All documents as chunks, written once because every job below reads them several times."""
+    return checkpointed(C.chunk(spread(whole_documents(spark, d).drop("chunk_no"), "doc_id")))
 
 
 @query("excerpt", f"""
@@ -290,7 +291,7 @@ def flagship(spark, directory):
     """Chunk the corpus, score the first question of every conversation, cite the three best passages."""
     first = (table(spark, directory, "conversations").filter(F.col("role") == "user").groupBy("conv_id")
              .agg(F.min_by("text", "turn").alias("query")).select(F.col("conv_id").alias("query_id"), "query"))
-    return jobs.cite_best(first, C.chunk(documents_for_chunks(spark, directory)))
+    return jobs.cite_best(first, stored_chunks(spark, directory))
 
 
 _FIRST_TURNS = "SELECT conv_id AS query_id, arg_min(text, turn) AS query FROM conversations WHERE role = 'user' GROUP BY conv_id"
@@ -303,11 +304,11 @@ query("flagship", f"WITH {Q.scored_pairs(_FIRST_TURNS, _CHUNKS)} {_CITED.format(
 def select_chunks(spark, d):
     """Chunks packed for every benchmark item."""
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    found = Z.select_context(asked, C.chunk(documents_for_chunks(spark, d)), _BUDGET)
+    found = Z.select_context(asked, stored_chunks(spark, d), _BUDGET)
     return found.select("query_id", "doc_id", "chunk_no", "position")
 
 
 @query("chat_turns")
 def chat_turns(spark, d):
     """Prompts of all user turns over chunked documents."""
-    return jobs.chat_turns(table(spark, d, "conversations"), C.chunk(documents_for_chunks(spark, d)))
+    return jobs.chat_turns(table(spark, d, "conversations"), stored_chunks(spark, d))

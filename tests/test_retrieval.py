@@ -106,3 +106,14 @@ def test_budgets(spark):
     assert (rows[1].context_chars_fast, rows[1].context_chars_chat, rows[1].tool_reply, rows[1].grounding_chars) == (6661, 8198, 1000, 8448)
     for r in rows.values():
         assert 2 * r.tool_reply + r.tool_response + 780 <= 4096 and 1 <= r.output_tokens <= 3616
+
+
+def test_pairs_are_not_shuffled(spark, capsys):
+    q, c, _, _ = tables(spark)
+    passages = S.passage_profile(c.repartition(*S.CHUNK_ID))
+    S.match_pairs(S.query_profile(q), passages).explain()
+    plan = capsys.readouterr().out
+    assert "BroadcastHashJoin" in plan
+    # The only shuffle is the one that puts the keys of a passage together.
+    assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_COL" in plan
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan

@@ -169,19 +169,19 @@ _SEP = "chr(10) || chr(10) || '---' || chr(10) || chr(10)"
 
 
 @query("pack_prefix", f"""
-WITH b AS (SELECT conv_id, turn, text, sum(length(text)) OVER w AS own, row_number() OVER w AS n FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
+u AS (SELECT doc_id, {Q.unnest_at('lines', 'spot', 'text')} FROM l),
+b AS (SELECT *, sum(length(text)) OVER w AS own, row_number() OVER w AS n FROM u WINDOW w AS (PARTITION BY doc_id ORDER BY spot)),
 f AS (SELECT *, own + 7 * greatest(n - 2, 0) > 1500 AS over FROM b),
-k AS (SELECT *, max(CASE WHEN over THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS stopped,
-  sum(length(text) + 7) OVER (PARTITION BY conv_id) - 7 AS total FROM f)
-SELECT conv_id, CASE WHEN any_value(total) <= 1500 THEN string_agg(text, {_SEP} ORDER BY turn)
-  WHEN count(*) FILTER (WHERE stopped = 0) = 0 THEN left(min_by(text, turn), 1500)
-  ELSE string_agg(text, {_SEP} ORDER BY turn) FILTER (WHERE stopped = 0) END AS context FROM k GROUP BY conv_id""")
+k AS (SELECT *, max(CASE WHEN over THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY spot) AS stopped,
+  sum(length(text) + 7) OVER (PARTITION BY doc_id) - 7 AS total FROM f)
+SELECT doc_id, CASE WHEN any_value(total) <= 1500 THEN string_agg(text, {_SEP} ORDER BY spot)
+  WHEN count(*) FILTER (WHERE stopped = 0) = 0 THEN left(min_by(text, spot), 1500)
+  ELSE string_agg(text, {_SEP} ORDER BY spot) FILTER (WHERE stopped = 0) END AS context FROM k GROUP BY doc_id""")
 def pack_prefix(spark, d):
-    """Messages of a thread as context blocks, cut to 1,500 characters."""
-    whole = table(spark, d, "conversations").groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("m"))
-    contexts = whole.select("conv_id", F.array_join(F.transform("m", lambda m: m["text"]), K.ENTRY_SEPARATOR).alias("context"))
-    return Z.pack_prefix(contexts, 1500)
+    """Lines of a document as context blocks, cut to 1,500 characters."""
+    docs = spread(table(spark, d, "documents"), "doc_id")
+    return Z.pack_prefix(docs.select("doc_id", F.replace(F.col("text"), F.lit("\n"), F.lit(K.ENTRY_SEPARATOR)).alias("context")), 1500)
 
 
 # Selected passages derived from events: users as queries, event types as URLs.

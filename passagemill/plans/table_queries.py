@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K, urls as U
 from ..operators import calls as G, layout as L, lookups as J, merging as M, threads as T
-from ..scale import spread
+from ..scale import OrderedGroups, spread
 from ..session import table
 from ..sources import tables as A
 from ..streaming import calls as ST
@@ -94,12 +94,12 @@ def append_novel(spark, d):
     return M.append_novel(r.filter("list_no = 0").drop("list_no"), r.withColumn("url", new).drop("list_no"))
 
 
-_PROPOSALS = """SELECT conv_id AS query_id, first(text ORDER BY turn) AS original, list(text ORDER BY turn) AS said FROM conversations WHERE role <> 'system' GROUP BY conv_id"""
+_LINES_OF = "SELECT doc_id AS query_id, string_split(text, chr(10)) AS said FROM documents"
 
 
 @query("clean_derived_queries", f"""
-WITH c AS ({_PROPOSALS}), l AS (SELECT query_id, original, {Q.unnest_at("string_split(array_to_string(said, chr(10)), chr(10))", 'pos', 'line')} FROM c),
-x AS (SELECT query_id, original, 2 * pos + k AS pos, {Q.trim("line")} AS query FROM l, (SELECT unnest([0, 1]) AS k)),
+WITH c AS (SELECT query_id, said[1] AS original, said FROM ({_LINES_OF})), l AS (SELECT query_id, original, {Q.unnest_at("said", 'pos', 'line')} FROM c),
+x AS (SELECT query_id, original, 2 * pos + k AS pos, {Q.trim("line")} AS query FROM l, (SELECT unnest([0, 1]) AS k) WHERE k = 0 OR pos % 3 <> 0),
 t AS (SELECT *, {Q.query_terms('query')} AS terms, {Q.query_terms('original')} AS own, {Q.folded('query')} AS query_key FROM x WHERE query <> ''),
 f AS (SELECT *, row_number() OVER (PARTITION BY query_id, query_key ORDER BY pos) AS seen FROM t
   WHERE len(list_filter(terms, lambda w: NOT list_contains(own, w))) >= 2 AND query_key <> {Q.folded('original')}),
@@ -107,16 +107,13 @@ g AS (SELECT *, len(list_intersect(terms, own)) AS n_shared FROM f WHERE seen =
 n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS n FROM g WHERE len(own) = 0 OR n_shared / (len(terms) + len(own) - n_shared) < 0.75)
 SELECT query_id, n AS pos, query FROM n WHERE n <= 3""")
 def clean_derived_queries(spark, d):
-    """Lines of each thread as proposals, all of them twice: as a quoted item and as a numbered one, with links between."""
-    turns = conversations(spark, d).filter(F.col("role") != "system")
-    said = turns.groupBy(F.col("conv_id").alias("query_id")).agg(
-        F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("m"))
-    texts = F.transform("m", lambda m: m["text"])
-    lines = F.transform(F.split(F.array_join(texts, "\n"), "\n"), lambda l, i: F.concat(
+    """Lines of a document as proposals to its first line: quoted, numbered, and links between."""
+    lines = F.split("text", "\n")
+    raw = F.array_join(F.transform(lines, lambda l, i: F.concat(
         F.when(F.btrim(l) == "", l).otherwise(F.concat(F.lit(" - \""), F.btrim(l), F.lit("\""))),
-        F.lit("\n"), F.when(i % 3 == 0, "https://x.example.org/a").otherwise(F.concat(F.lit("2) "), l))))
-    return M.clean_derived_queries(said.select("query_id", F.get(texts, F.lit(0)).alias("original"),
-                                               F.array_join(lines, "\n").alias("raw")))
+        F.lit("\n"), F.when(i % 3 == 0, "https://x.example.org/a").otherwise(F.concat(F.lit("2) "), l)))), "\n")
+    docs = spread(table(spark, d, "documents"), "doc_id")
+    return M.clean_derived_queries(docs.select(F.col("doc_id").alias("query_id"), F.get(lines, F.lit(0)).alias("original"), raw.alias("raw")))
 
 
 def _near(source: str, ident: str, threshold: float) -> str:
@@ -158,10 +155,9 @@ WITH p AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDE
 SELECT conv_id, turn, len(list_filter({Q.query_terms('text')}, lambda w: NOT list_contains({Q.query_terms('before')}, w))) AS n FROM p WHERE before IS NOT NULL""")
 def novelty(spark, d):
     """How many terms each message adds to the one before."""
-    from pyspark.sql.window import Window
-
-    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    return (conversations(spark, d).withColumn("before", before).filter(F.col("before").isNotNull())
+    groups = OrderedGroups(conversations(spark, d), ["conv_id"], ["turn"]).with_neighbours(before=1)
+    seen = groups.df.withColumn("before", F.lag("text").over(groups.window()))
+    return (groups.replace(seen).own_rows().plain().filter(F.col("before").isNotNull())
             .select("conv_id", "turn", M.novelty(F.col("text"), F.col("before")).alias("n")))
 
 
@@ -174,11 +170,9 @@ SELECT query_id, event_id, place FROM (SELECT *, row_number() OVER (PARTITION BY
   FROM ({_FETCHES}) WHERE pos < 8 AND content IS NOT NULL) WHERE place <= 5""")
 def first_successes(spark, d):
     """Events as fetches: errors failed, the value is the completion time."""
-    from pyspark.sql.window import Window
-
-    pos = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
-    fetches = table(spark, d, "events").select(
-        F.col("user_id").alias("query_id"), "event_id", pos.alias("pos"),
+    events = OrderedGroups(table(spark, d, "events"), ["user_id"], ["event_id"]).running("n", F.lit(1)).plain()
+    fetches = events.select(
+        F.col("user_id").alias("query_id"), "event_id", (F.col("n") - 1).alias("pos"),
         F.when(F.col("event_type") != "error", F.col("props")).alias("content"), F.col("value").alias("completed_at"))
     return M.first_successes(fetches, 5).select("query_id", "event_id", "place")
 
@@ -221,19 +215,15 @@ def split_prefetched(spark, d):
 
 
 @query("deep_search_plan", f"""
-WITH c AS (SELECT conv_id AS query_id, {Q.trim('text')} AS query, turn FROM conversations),
-k AS (SELECT query_id, query, turn, {Q.folded('query')} AS key FROM c WHERE query <> ''),
-n AS (SELECT query_id, list(query ORDER BY turn) AS l FROM k GROUP BY query_id)
-SELECT query_id, min(turn) AS first_turn, arg_min(query, turn) AS query, 9 AS web_limit, 33 AS merged_limit, 8 AS shown FROM k GROUP BY query_id, key""")
+WITH l AS (SELECT query_id, {Q.unnest_at('said', 'pos', 'line')} FROM ({_LINES_OF})),
+k AS (SELECT query_id, pos, {Q.trim('line')} AS query, {Q.folded('line')} AS key FROM l WHERE {Q.trim('line')} <> '')
+SELECT query_id, min(pos) AS pos, arg_min(query, pos) AS query, 9 AS web_limit, 2 AS encyclopedia_limit, 33 AS merged_limit, 8 AS shown FROM k GROUP BY query_id, key""")
 def deep_search_plan(spark, d):
-    """Messages of a thread as its derived queries; turns count from zero without gaps after sorting."""
-    m = conversations(spark, d).groupBy(F.col("conv_id").alias("query_id")).agg(
-        F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("m"))
-    turns = F.transform("m", lambda x: x["turn"])
-    sessions = m.select("query_id", F.get("m", F.lit(0))["text"].alias("query"),
-                        F.transform(F.slice("m", F.lit(2), F.size("m")), lambda x: x["text"]).alias("derived"), turns.alias("turns"))
-    plan = M.deep_search_plan(sessions).join(sessions.select("query_id", "turns"), "query_id")
-    return plan.select("query_id", F.get("turns", F.col("pos")).alias("first_turn"), "query", "web_limit", "merged_limit", "shown")
+    """Lines of a document: the first is the question, the others its derived queries."""
+    lines = F.split("text", "\n")
+    sessions = spread(table(spark, d, "documents"), "doc_id").select(
+        F.col("doc_id").alias("query_id"), F.get(lines, F.lit(0)).alias("query"), F.slice(lines, F.lit(2), F.size(lines)).alias("derived"))
+    return M.deep_search_plan(sessions)
 
 
 # --- budgets -----------------------------------------------------------------------------------------

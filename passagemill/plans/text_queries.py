@@ -254,22 +254,22 @@ def html_tables(spark, d):
 
 
 @query("aligned_tables", """
-WITH l AS (SELECT l_orderkey AS doc_id, l_linenumber AS n, l_partkey AS a, l_suppkey AS b,
-  2 * sum(CASE WHEN l_linenumber = 4 THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey) > count(*) OVER (PARTITION BY l_orderkey) + 1 AS wide FROM lineitem)
-SELECT doc_id, 'intro text' || chr(10) || CASE WHEN any_value(wide) THEN '| Part name | Supplier | Line |  |' || chr(10) || '| --- | --- | --- | --- |'
-    ELSE '| Part name | Supplier | Line |' || chr(10) || '| --- | --- | --- |' END || chr(10) ||
-  string_agg('| ' || a || ' | ' || b || ' | ' || n || CASE WHEN n = 4 THEN CASE WHEN wide THEN ' | extra' ELSE ' extra' END WHEN wide THEN ' | ' ELSE '' END
-    || ' |', chr(10) ORDER BY n, a, b) || chr(10) || 'prose' || chr(10) || 'lone wide line' || chr(10) || 'end' AS text FROM l GROUP BY doc_id""")
+WITH o AS (SELECT o_orderkey AS doc_id, o_custkey AS c, unnest(range(1, o_orderkey % 6 + 3)) AS i FROM orders),
+x AS (SELECT *, (doc_id + i) % 3 = 0 AS extra FROM o),
+l AS (SELECT *, 2 * sum(CASE WHEN extra THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id) > count(*) OVER (PARTITION BY doc_id) + 1 AS wide FROM x)
+SELECT doc_id, 'intro text' || chr(10) || CASE WHEN any_value(wide) THEN '| Part name | Customer | Line |  |' || chr(10) || '| --- | --- | --- | --- |'
+    ELSE '| Part name | Customer | Line |' || chr(10) || '| --- | --- | --- |' END || chr(10) ||
+  string_agg('| part ' || (doc_id + i) || ' | ' || c || ' | ' || i || CASE WHEN extra THEN CASE WHEN wide THEN ' | extra' ELSE ' extra' END WHEN wide THEN ' | ' ELSE '' END
+    || ' |', chr(10) ORDER BY i) || chr(10) || 'prose' || chr(10) || 'lone wide line' || chr(10) || 'end' AS text FROM l GROUP BY doc_id""")
 def aligned_tables(spark, d):
-    """One text per order: a table aligned with blanks, one row with a surplus cell, a lone wide line."""
-    line = F.concat(F.col("l_partkey"), F.lit("    "), F.col("l_suppkey"), F.lit("\t  "), F.col("l_linenumber"),
-                    F.when(F.col("l_linenumber") == 4, "   extra").otherwise(""))
-    docs = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(
-        F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", line.alias("t")))).alias("l"))
-    text = F.concat(F.lit("intro text\nPart name    Supplier    Line\n"),
-                    F.array_join(F.transform("l", lambda x: x["t"]), "\n"), F.lit("\nprose\nlone    wide    line\nend"))
-    docs = computed(docs, text=text)
-    return docs.select("doc_id", markup.aligned_text_to_tables("text").alias("text"))
+    """One text per order: a table aligned with blanks, some rows with a surplus cell, a lone wide line."""
+    key = F.col("o_orderkey")
+    lines = F.transform(F.sequence(F.lit(1).cast("long"), key % 6 + 2), lambda i: F.concat(
+        F.lit("part "), key + i, F.lit("    "), F.col("o_custkey"), F.lit("\t  "), i, F.when((key + i) % 3 == 0, "   extra").otherwise("")))
+    text = F.concat(F.lit("intro text\nPart name    Customer    Line\n"), F.array_join(lines, "\n"),
+                    F.lit("\nprose\nlone    wide    line\nend"))
+    docs = computed(table(spark, d, "orders").select(key.alias("doc_id"), text.alias("text")), text=F.col("text"))
+    return spread(docs, "doc_id").select("doc_id", markup.aligned_text_to_tables("text").alias("text"))
 
 
 @query("clean_answers")

@@ -22,6 +22,8 @@ from .common import stored
 BLOCK_BYTES = 1 << 21
 BUCKET_BYTES = 1 << 23
 ROW_BITS, BLOCK_BITS = 24, 16
+# Level of the zstd compression of blocks and packed arrays.
+LEVEL = 5
 
 
 def store_blocks(docs: DataFrame, text: str, marks: Callable[[np.ndarray, np.ndarray], bytes] | None = None) -> DataFrame:
@@ -49,7 +51,7 @@ def store_blocks(docs: DataFrame, text: str, marks: Callable[[np.ndarray, np.nda
 def pack_rows(batch: pa.RecordBatch) -> bytes:
     """A batch as one compressed Arrow stream."""
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=codec())) as writer:
         writer.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
@@ -59,16 +61,20 @@ def rows_of(payload: bytes) -> pa.Table:
     return pa.ipc.open_stream(pa.py_buffer(payload)).read_all()
 
 
+def codec() -> pa.Codec:
+    return pa.Codec("zstd", compression_level=LEVEL)
+
+
 def squeeze(array: np.ndarray) -> bytes:
     """Bytes of an array, compressed, behind their length."""
     raw = np.ascontiguousarray(array).tobytes()
-    return len(raw).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
+    return len(raw).to_bytes(8, "little") + (codec().compress(raw, asbytes=True) if raw else b"")
 
 
 def unsqueeze(data: bytes, kind) -> np.ndarray:
     """The array again."""
     size = int.from_bytes(data[:8], "little")
-    raw = pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True) if size else b""
+    raw = codec().decompress(data[8:], decompressed_size=size, asbytes=True) if size else b""
     return np.frombuffer(raw, dtype=kind)
 
 

@@ -110,19 +110,10 @@ class Block:
             else np.zeros(0, np.int64)
 
     def trigger_hash(self) -> np.ndarray:
-        """64-bit hashes of the triggers' bytes."""
-        if len(self.begin) == 0:
-            return np.zeros(0, np.uint64)
-        place = (self.begin + self.back)[:, None] + np.arange(TRIGGER)
-        halves = self.data[place].view(np.uint64)
-        return mixed(mixed(halves[:, 0]) + halves[:, 1])
+        return _trigger_hash(self.data, self.begin + self.back)
 
     def phrase_hash(self, which=slice(None)) -> np.ndarray:
-        """64-bit hashes of the phrases' bytes and their triggers' place."""
-        powers = Powers()
-        sums = prefix_hash(self.data, powers)
-        names = span_hash(sums, self.begin[which], self.last[which] + LENGTH, powers)
-        return mixed(names + self.back[which].astype(np.uint64))
+        return _phrase_hash(self.data, self.begin[which], self.last[which] + LENGTH, self.back[which])
 
 
 def _shared_triggers(blocks: DataFrame, buckets: int, key: str, text: str) -> DataFrame:
@@ -170,10 +161,24 @@ def _shared_triggers(blocks: DataFrame, buckets: int, key: str, text: str) -> Da
     return entries.groupBy("bucket").applyInArrow(share, "block long, bucket long, keys binary")
 
 
-_ENTRY = [("names", np.uint64), ("keys", np.uint32), ("spans", np.uint8), ("backs", np.uint8), ("least", np.int64),
+_ENTRY = [("spans", np.uint8), ("backs", np.uint8), ("least", np.int64),
           ("more", np.int64), ("text", np.uint8)]
 
 
+def _trigger_hash(data: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the TRIGGER bytes at every place."""
+    if len(places) == 0:
+        return np.zeros(0, np.uint64)
+    halves = data[places[:, None] + np.arange(TRIGGER)].view(np.uint64)
+    return mixed(mixed(halves[:, 0]) + halves[:, 1])
+
+
+def _phrase_hash(data: np.ndarray, begin: np.ndarray, end: np.ndarray, back: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the phrases' bytes and their triggers' place."""
+    powers = Powers()
+    return mixed(span_hash(prefix_hash(data, powers), begin, end, powers) + back.astype(np.uint64))
+
+
 def _dictionary(blocks: DataFrame, shared: DataFrame, buckets: int, key: str, text: str) -> DataFrame:
     """(bucket, block, packed arrays): the distinct phrases of every block behind shared triggers."""
     names = ["bucket", "block"] + [n for n, _ in _ENTRY]
@@ -201,8 +206,8 @@ def _dictionary(blocks: DataFrame, shared: DataFrame, buckets: int, key: str, te
             w, s = which[a:b], spans[a:b]
             sizes = s + LENGTH
             place = np.repeat(at.begin[w] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-            arrays = {"names": phrase[a:b], "keys": low_half(wide[w]), "spans": s, "backs": at.back[w],
-                      "least": least[a:b], "more": most[a:b] - least[a:b], "text": at.data[place]}
+            arrays = {"spans": s, "backs": at.back[w], "least": least[a:b], "more": most[a:b] - least[a:b],
+                      "text": at.data[place]}
             out.append([bucket, left.column("block")[0].as_py()]
                        + [squeeze(arrays[n].astype(kind)) for n, kind in _ENTRY])
         if not out:
@@ -255,11 +260,12 @@ def _answers(dictionary: DataFrame) -> DataFrame:
     """(block, packed arrays): for the phrases of every block, runs of strings that a smaller id holds too."""
     def work(table: pa.Table) -> pa.Table:
         columns = {n: [unsqueeze(v, kind) for v in table.column(n).to_pylist()] for n, kind in _ENTRY}
-        sizes = [len(v) for v in columns["names"]]
-        names, keys, spans, least, more = (np.concatenate(columns[n]) for n in ("names", "keys", "spans", "least", "more"))
+        sizes = [len(v) for v in columns["spans"]]
+        spans, backs, least, more, data = (np.concatenate(columns[n]) for n, _ in _ENTRY)
         spans = spans.astype(np.int64)
-        data = np.concatenate(columns["text"])
         begins = np.concatenate([[0], np.cumsum(spans + LENGTH)[:-1]])
+        keys = _trigger_hash(data, begins + backs)
+        names = _phrase_hash(data, begins, begins + spans + LENGTH, backs)
         source = np.repeat(np.arange(len(sizes)), sizes)
         # One of each distinct phrase, with the smallest id of all blocks.
         order = np.lexsort((least, names))

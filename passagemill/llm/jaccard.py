@@ -3,7 +3,8 @@
 A document is the set of its word shingles. All sets put their shingles in one order, rarest first. If two sets reach
 the threshold, then for every l the first ``n - need + l`` shingles of both share l shingles, where n is a set's
 size and need the overlap that the threshold asks of it at least. Each set chooses its own l by what the postings of
-its prefix would cost; two sets are verified only if their prefixes share as many shingles as the smaller l.
+its prefix would cost; two sets are verified only if their prefixes share as many shingles as the smaller l, and as
+many as their two sizes ask for.
 
 Only links between components are looked for. Equal sets are one. Then every set is compared with one partner: of the
 first sets of like size in its posting lists, the one that most of its postings name; these are as many pairs as sets. What they link is one component, and in the full join that follows a posting list's largest component meets
@@ -24,10 +25,6 @@ from .components import components
 
 # Largest l that a document may choose.
 MOST_MATCHES = 8
-# Shingles whose hash leaves this remainder-free share are counted; the others stand behind them in the order, so
-# the prefixes consist of counted shingles as long as there are any. Any order is right; counts only make it good.
-COUNTED = 2
-UNCOUNTED = np.uint32(0xFFFFFFFF)
 # Cost of comparing two sets, per shingle, against the cost of one pair in a posting list.
 VERIFY = 0.05
 
@@ -65,13 +62,13 @@ def shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndar
 
 
 def _counts(blocks: DataFrame, buckets: int, text: str, words: int) -> DataFrame:
-    """(block, bucket, keys, counts): for every block, in how many documents of all its counted shingles are, where
-    that is more than one."""
+    """(block, bucket, keys, counts): for every block, in how many documents of all its shingles are, where that is
+    more than one."""
     def count(batches):
         for batch in batches:
             for block, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found, _ = shingles(*text_bytes(rows_of(payload).column(text)), words)
-                found = np.sort(found[found % np.uint64(COUNTED) == 0])
+                found = np.sort(found)
                 starts = groups_of(found)
                 n = np.diff(np.append(starts, len(found))).astype(np.uint32)
                 found = found[starts]
@@ -95,7 +92,7 @@ def _counts(blocks: DataFrame, buckets: int, text: str, words: int) -> DataFrame
         kept = np.flatnonzero(all_ > 1)
         blocks_, buckets_ = table.column("block").to_pylist(), table.column("bucket").to_pylist()
         out = [(blocks_[i], buckets_[i], squeeze(joined[kept[a:b]]),
-                squeeze(np.minimum(all_[kept[a:b]], 0xFFFFFFFE).astype(np.uint32)))
+                squeeze(np.minimum(all_[kept[a:b]], 0xFFFFFFFF).astype(np.uint32)))
                for i, a, b in by_bucket(source[kept])]
         return pa.table([pa.array([o[i] for o in out], t)
                          for i, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))],
@@ -113,7 +110,7 @@ def prefix_choice(frequency: np.ndarray, n: int, percent: int) -> tuple[int, int
     it. The l with the least S + verification of S / l is taken, the smallest of equal ones.
     """
     need = -(-percent * n // 100)
-    others = np.cumsum(np.where(frequency == UNCOUNTED, 1, frequency.astype(np.int64) - 1))
+    others = np.cumsum(frequency.astype(np.int64) - 1)
     best, chosen = None, (1, n - need + 1)
     for matches in range(1, min(MOST_MATCHES, need) + 1):
         length = n - need + matches
@@ -128,8 +125,8 @@ def prefix_choice(frequency: np.ndarray, n: int, percent: int) -> tuple[int, int
 
 def _sets(blocks: DataFrame, counts: DataFrame, buckets: int, key: str, text: str, words: int, percent: int,
           key_type: T.DataType) -> DataFrame:
-    """One row per document: place, key, size and hashes of the set; where its prefix may be shared, also l, the
-    prefix's postings and the set itself."""
+    """One row per document: place, key, size and hashes of the set, and how many of its shingles no other document
+    has; where its prefix may be shared, also l, the prefix's postings and the set itself."""
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = rows_of(left.column("payload")[0].as_py())
         block = left.column("block")[0].as_py()
@@ -145,13 +142,13 @@ def _sets(blocks: DataFrame, counts: DataFrame, buckets: int, key: str, text: st
             order = np.argsort(known, kind="stable")
             place = found_in(wide, known[order])
             frequency[place >= 0] = often[order][place[place >= 0]]
-        frequency[hashes % np.uint64(COUNTED) != 0] = UNCOUNTED
         signed = hashes.view(np.int64)
         edges = np.searchsorted(owner, np.arange(n_rows + 1))
         sizes = np.diff(edges)
         sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(hashes ^ np.uint64(salt)))]) for salt in (1, 2)]
         names = [(s[edges[1:]] - s[edges[:-1]]).view(np.int64) for s in sums]
         order = np.lexsort((hashes, frequency, owner))
+        alone = np.bincount(owner[frequency == 1], minlength=n_rows)
         matches, postings, sets = [], [], []
         for i in range(n_rows):
             a, b = edges[i], edges[i + 1]
@@ -170,12 +167,14 @@ def _sets(blocks: DataFrame, counts: DataFrame, buckets: int, key: str, text: st
         keys = rows.column(key)
         return pa.table([pa.array((block << ROW_BITS) + np.arange(n_rows), pa.int64()), keys,
                          pa.array(sizes, pa.int64()), pa.array(names[0]), pa.array(names[1]),
-                         pa.array(matches, pa.int32()), pa.array(postings, longs), pa.array(sets, longs)],
+                         pa.array(alone, pa.int64()), pa.array(matches, pa.int32()), pa.array(postings, longs),
+                         pa.array(sets, longs)],
                         names=[f.name for f in schema.fields])
 
     schema = T.StructType([T.StructField("ref", T.LongType()), T.StructField("key", key_type),
                            T.StructField("n", T.LongType()), T.StructField("name1", T.LongType()),
-                           T.StructField("name2", T.LongType()), T.StructField("matches", T.IntegerType()),
+                           T.StructField("name2", T.LongType()), T.StructField("alone", T.LongType()),
+                           T.StructField("matches", T.IntegerType()),
                            T.StructField("postings", T.ArrayType(T.LongType())),
                            T.StructField("set", T.ArrayType(T.LongType()))])
     return stored(with_answers(blocks.select("block", "payload"), counts, work, schema))
@@ -191,6 +190,19 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * shared >= percent * union).select("a", "b")
 
 
+def _matching(pairs: DataFrame, active: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose prefixes share as many shingles as the smaller l asks for, and as the two sizes ask for:
+    what two prefixes do not share can only be shared behind the one that ends first."""
+    def side(x: str) -> DataFrame:
+        rest = F.ceil(percent * F.col("n") / 100) - F.col("matches")
+        return active.select(F.col("ref").alias(x), F.col("n").alias(f"n_{x}"), F.col("matches").alias(f"l_{x}"),
+                             rest.alias(f"rest_{x}"), F.col("postings").alias(f"postings_{x}"))
+    overlap = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent))
+    least = F.greatest(F.least("l_a", "l_b"), overlap - F.greatest("rest_a", "rest_b"))
+    shared = F.size(F.array_intersect("postings_a", "postings_b"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(shared >= least).select("a", "b")
+
+
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5,
                    percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """Blocks of ``docs``, and (ref, key, n, root) for every row: its place, set size, and the place of the first row
@@ -210,12 +222,16 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
         equal.filter("c > 1").drop("c"), ["n", "name1", "name2"]).filter("ref <> first").select(
         F.col("ref").alias("a"), F.col("first").alias("b")))
     active = stored(nodes.filter("matches IS NOT NULL").join(
-        copies.select(F.col("a").alias("ref")), "ref", "left_anti").select("ref", "n", "matches", "postings", "set"))
+        copies.select(F.col("a").alias("ref")), "ref", "left_anti").select("ref", "n", "alone", "matches", "postings", "set"))
     sets = active.select("ref", "set")
-    lists = active.select("ref", "n", "matches", F.explode("postings").alias("shingle"))
-    # One partner each. Sets of a class differ in size by less than a third.
-    sized = lists.select("ref", "shingle", F.floor(4 * F.log("n")).alias("class"))
-    heads = sized.groupBy("shingle", "class").agg(F.min("ref").alias("head"), F.count(F.lit(1)).alias("c"))
+    # A posting's place in its set's order; the shingles that no other set has come first.
+    lists = active.select("ref", "n", (F.col("n") - F.col("alone")).alias("known"),
+                          F.posexplode("postings").alias("place", "shingle")).withColumn(
+        "place", F.col("place") + F.col("n") - F.col("known") + 1)
+    # One partner each, from a list's sets of like size (less than a third apart) one with few shingles of its own.
+    sized = lists.select("ref", "shingle", F.floor(4 * F.log("n")).alias("class"), (F.col("n") - F.col("known")).alias("own"))
+    heads = sized.groupBy("shingle", "class").agg(F.min(F.struct("own", "ref"))["ref"].alias("head"),
+                                                  F.count(F.lit(1)).alias("c"))
     named = sized.join(heads.filter("c > 1").drop("c"), ["shingle", "class"]).filter("ref <> head")
     votes = named.groupBy("ref", "head").agg(F.count(F.lit(1)).alias("votes"))
     partner = votes.groupBy("ref").agg(F.max_by("head", F.struct("votes", -F.col("head"))).alias("b"))
@@ -228,16 +244,20 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     largest = by_root.groupBy("shingle").agg(F.max_by("root", F.struct("c", "root")).alias("largest"),
                                              F.count(F.lit(1)).alias("roots")).filter("roots > 1")
     open_ = stored(at.join(largest.drop("roots"), "shingle"))
-    outside = open_.filter("root <> largest").select(
-        "shingle", F.col("ref").alias("a"), F.col("n").alias("na"), F.col("matches").alias("la"), F.col("root").alias("ra"))
-    every = open_.select("shingle", F.col("ref").alias("b"), F.col("n").alias("nb"), F.col("matches").alias("lb"),
-                         F.col("root").alias("rb"), (F.col("root") == F.col("largest")).alias("inner"))
-    near = (F.col("ra") != F.col("rb")) & (F.col("inner") | (F.col("a") < F.col("b"))) & (
-        100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    def side(x: str):
+        return [F.col(c).alias(f"{c}_{x}") for c in ("ref", "n", "known", "place", "root")]
+    outside = open_.filter("root <> largest").select("shingle", *side("a"))
+    every = open_.select("shingle", *side("b"), (F.col("root") == F.col("largest")).alias("inner"))
+    # Two sets must share this much. They can share no more than what either has in common with any other set, and
+    # the first shingle that they share has that much less one behind it in both.
+    overlap = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent))
+    near = (F.col("root_a") != F.col("root_b")) & (F.col("inner") | (F.col("ref_a") < F.col("ref_b"))) & (
+        100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (
+        F.least("known_a", "known_b") >= overlap) & (
+        F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) + 1 >= overlap)
     meetings = outside.join(every, "shingle").filter(near).select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("la", "lb").alias("need"))
-    candidates = meetings.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max("need").alias("need")).filter(
-        "shared >= need").select("a", "b")
+        F.least("ref_a", "ref_b").alias("a"), F.greatest("ref_a", "ref_b").alias("b")).distinct()
+    candidates = _matching(meetings, active, percent)
     second = stored(_linked(candidates, sets, percent))
     roots = components(copies.unionByName(first).unionByName(second))
     grouped = nodes.select("ref", "key", "n").join(roots.withColumnRenamed("node", "ref"), "ref", "left").select(

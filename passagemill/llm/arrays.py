@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,38 @@ BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = pow(int(BASE), -1, 1 << 64)
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers are used again, and their peaks would add up."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy_batches(run: Callable) -> Callable:
+    """The same function over batches, which releases memory behind each of its batches."""
+    def tidy(batches):
+        for out in run(batches):
+            yield out
+            release()
+    return tidy
+
+
+def tidy_table(work: Callable) -> Callable:
+    """The same function of one or two tables, which releases memory behind them."""
+    def one(table: pa.Table) -> pa.Table:
+        out = work(table)
+        release()
+        return out
+
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = work(left, right)
+        release()
+        return out
+
+    return two if work.__code__.co_argcount == 2 else one
+
+
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column, one document behind the other, and len + 1 offsets; null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .arrays import slices, text_bytes
+from .arrays import slices, text_bytes, tidy_batches, tidy_table
 from .common import stored
 
 BLOCK_BYTES = 1 << 21
@@ -45,7 +45,7 @@ def store_blocks(docs: DataFrame, text: str, marks: Callable[[np.ndarray, np.nda
                     pa.array([found], pa.binary())], names=["block", "n_rows", "n_bytes", "payload", "marks"])
                 number += 1
 
-    return stored(docs.mapInArrow(run, "block long, n_rows long, n_bytes long, payload binary, marks binary"))
+    return stored(docs.mapInArrow(tidy_batches(run), "block long, n_rows long, n_bytes long, payload binary, marks binary"))
 
 
 def pack_rows(batch: pa.RecordBatch) -> bytes:
@@ -117,4 +117,4 @@ def found_in(values: np.ndarray, known_sorted: np.ndarray) -> np.ndarray:
 
 def with_answers(blocks: DataFrame, answers: DataFrame, work, schema: str) -> DataFrame:
     """``work(block row, answer rows)`` for every block, with or without answers, as Arrow tables."""
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(work, schema)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(tidy_table(work), schema)

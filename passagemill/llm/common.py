@@ -25,6 +25,16 @@ def stored(df: DataFrame) -> DataFrame:
     return checkpointed(df)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for found in tables:
+        files = found.inputFiles()
+        if files:
+            context = found.sparkSession.sparkContext
+            folder = context._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def carried(df: DataFrame, **columns: Column) -> DataFrame:
     """The input row as one struct, and computed columns beside it."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(ROW),

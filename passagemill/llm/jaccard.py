@@ -17,10 +17,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .arrays import Powers, lowered, mixed, prefix_hash, span_hash, text_bytes, word_spans
+from .arrays import Powers, lowered, mixed, prefix_hash, span_hash, text_bytes, tidy_batches, tidy_table, word_spans
 from .blocks import (ROW_BITS, bucket_count, bucket_of, by_bucket, found_in, groups_of, low_half, rows_of, squeeze,
                      store_blocks, unsqueeze, with_answers)
-from .common import read, stored
+from .common import discard, read, stored
 from .components import components
 
 # Largest l that a document may choose.
@@ -99,8 +99,8 @@ def _counts(blocks: DataFrame, buckets: int, text: str, words: int) -> DataFrame
                         names=["block", "bucket", "keys", "counts"])
 
     entries = blocks.select("block", "payload").mapInArrow(
-        count, "bucket long, block long, keys binary, counts binary")
-    return entries.groupBy("bucket").applyInArrow(add, "block long, bucket long, keys binary, counts binary")
+        tidy_batches(count), "bucket long, block long, keys binary, counts binary")
+    return entries.groupBy("bucket").applyInArrow(tidy_table(add), "block long, bucket long, keys binary, counts binary")
 
 
 def prefix_choice(frequency: np.ndarray, n: int, percent: int) -> tuple[int, int]:
@@ -262,14 +262,16 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     roots = components(copies.unionByName(first).unionByName(second))
     grouped = nodes.select("ref", "key", "n").join(roots.withColumnRenamed("node", "ref"), "ref", "left").select(
         "ref", "key", "n", F.coalesce("root", "ref").alias("root"))
+    grouped = stored(grouped)
+    discard(nodes, copies, active, first, known, at, open_, second)
     return blocks, grouped
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """(key, n_shingles, component_id) of every row: the size of its set and the smallest key of its group. Null keys
     count only where a group has no other."""
-    _, grouped = similar_groups(docs, key, text, words, percent)
-    grouped = stored(grouped)
+    blocks, grouped = similar_groups(docs, key, text, words, percent)
+    discard(blocks)
     smallest = grouped.filter("root <> ref").select("root").distinct().withColumnRenamed("root", "_r")
     least = grouped.join(smallest, F.col("root") == F.col("_r")).groupBy("_r").agg(F.min("key").alias("least"))
     return grouped.join(least, F.col("root") == F.col("_r"), "left").select(
@@ -282,7 +284,6 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     """The rows of ``docs`` without those that are linked to a row with a smaller key: of every group the row with the
     smallest key stays, the first place among equal or null keys. All columns unchanged."""
     blocks, grouped = similar_groups(docs, key, text, words, percent)
-    grouped = stored(grouped)
     several = grouped.filter("root <> ref").select(F.col("root").alias("_r")).distinct()
     members = grouped.join(several, F.col("root") == F.col("_r")).select("_r", "ref", "key")
     rank = F.struct(F.col("key").isNull(), F.col("key"), F.col("ref"))

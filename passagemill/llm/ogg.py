@@ -10,6 +10,7 @@ from collections import defaultdict
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .arrays import tidy_batches
 from .common import read
 
 # Payloads are padded to whole units of this many 8-bit samples.
@@ -159,7 +160,7 @@ def write_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
             yield from _batched(arrow, (((k, m), len(m)) for k, m in rows))
 
     return docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).mapInArrow(
-        run, f"key {kind}, media binary").withColumnRenamed("key", key)
+        tidy_batches(run), f"key {kind}, media binary").withColumnRenamed("key", key)
 
 
 def read_media(media: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -185,7 +186,7 @@ def read_media(media: DataFrame, key: str = "doc_id") -> DataFrame:
             yield from _batched(arrow, rows())
 
     schema = f"key {kind}, media binary, " + ", ".join(f"{n} {s}" for n, _, s in fields)
-    return media.select(F.col(f"`{key}`").alias("key"), F.col("media")).mapInArrow(run, schema).withColumnRenamed(
+    return media.select(F.col(f"`{key}`").alias("key"), F.col("media")).mapInArrow(tidy_batches(run), schema).withColumnRenamed(
         "key", key)
 
 

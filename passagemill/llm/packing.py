@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from .arrays import tidy_batches
 from .common import read
 
 LENGTH = 1024
@@ -161,7 +162,7 @@ def pack(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text: s
             yield from windows(True)
 
     return docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).mapInArrow(
-        run, f"key {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+        tidy_batches(run), f"key {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     ).withColumnRenamed("key", key)
 
 

@@ -10,7 +10,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import ROW, read, stored
+from .arrays import release
+from .common import ROW, carried, discard, read, stored
 
 FEATURES = ("words", "word_length", "word_spread", "symbols", "marks", "upper", "digits", "variety", "repeats",
             "top_word", "line_copies", "sentence_words")
@@ -58,7 +59,9 @@ def statistics(text: str | None) -> list[float]:
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def statistics_of(texts: pd.Series) -> pd.Series:
-    return texts.map(statistics)
+    found = texts.map(statistics)
+    release()
+    return found
 
 
 class Discriminant:
@@ -143,9 +146,15 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
         .withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
-def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the classifier does not reject, unchanged."""
-    return classify(docs, labels).filter("predicted = 1").select(f"{ROW}.*")
+def good_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text",
+                   label: str = "quality") -> DataFrame:
+    """The rows of ``docs`` that the classifier does not reject, unchanged. Only statistics are stored for the fit;
+    they are found again where the rows are filtered, so no text is written."""
+    found = statistics_of(F.col(f"`{text}`"))
+    features = stored(docs.select(F.col(f"`{key}`").alias("key"), found.alias("features")))
+    model = fit(features, labels.select(F.col(f"`{key}`").alias("key"), F.col(f"`{label}`").alias("label")))
+    discard(features)
+    return carried(docs, features=found).filter(model.score(F.col("features")) >= THRESHOLD).select(f"{ROW}.*")
 
 
 def scored_documents(spark, directory: str) -> DataFrame:

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .arrays import Powers, mixed, prefix_hash, span_hash, text_bytes
+from .arrays import Powers, mixed, prefix_hash, span_hash, text_bytes, tidy_batches, tidy_table
 from .blocks import (bucket_count, bucket_of, by_bucket, found_in, groups_of, low_half, rows_of, squeeze,
                      store_blocks, unsqueeze, with_answers)
 from .common import ROW, read
@@ -157,8 +157,8 @@ def _shared_triggers(blocks: DataFrame, buckets: int, key: str, text: str) -> Da
                         names=["block", "bucket", "keys"])
 
     entries = blocks.select("block", "payload", "marks").mapInArrow(
-        count, "bucket long, block long, keys binary, several binary")
-    return entries.groupBy("bucket").applyInArrow(share, "block long, bucket long, keys binary")
+        tidy_batches(count), "bucket long, block long, keys binary, several binary")
+    return entries.groupBy("bucket").applyInArrow(tidy_table(share), "block long, bucket long, keys binary")
 
 
 _ENTRY = [("spans", np.uint8), ("backs", np.uint8), ("least", np.int64),
@@ -295,7 +295,7 @@ def _answers(dictionary: DataFrame) -> DataFrame:
                         names=["block"] + [n for n, _ in _ANSWER])
 
     return dictionary.groupBy("bucket").applyInArrow(
-        work, "block long, " + ", ".join(f"{n} binary" for n, _ in _ANSWER))
+        tidy_table(work), "block long, " + ", ".join(f"{n} binary" for n, _ in _ANSWER))
 
 
 def covered(at: Block, answers: dict[str, np.ndarray]) -> np.ndarray:

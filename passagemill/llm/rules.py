@@ -9,6 +9,7 @@ from collections import Counter
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from .arrays import release
 from .common import read, stored
 
 MIN_WORDS = 50
@@ -50,7 +51,9 @@ def counts(text: str | None) -> tuple[int, ...]:
 
 @F.pandas_udf(T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))
 def counts_of(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([counts(t) for t in texts], columns=list(COUNTS))
+    found = pd.DataFrame([counts(t) for t in texts], columns=list(COUNTS))
+    release()
+    return found
 
 
 def base_failed() -> Column:

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .arrays import Powers, prefix_hash, slices, span_hash, text_bytes, word_spans
+from .arrays import Powers, prefix_hash, slices, span_hash, text_bytes, tidy_batches, word_spans
 from .common import read
 
 # Words up to this many bytes run through the automaton side by side, longer ones alone.
@@ -161,7 +161,7 @@ def count_pieces(docs: DataFrame, tokens: list[bytes], key: str = "doc_id", text
                     names=["key", "n_words", "n_pieces"])
 
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    return rows.mapInArrow(run, f"key {kind.simpleString()}, n_words long, n_pieces long").withColumnRenamed("key", key)
+    return rows.mapInArrow(tidy_batches(run), f"key {kind.simpleString()}, n_words long, n_pieces long").withColumnRenamed("key", key)
 
 
 def counted_documents(spark, directory: str) -> DataFrame:

@@ -58,7 +58,7 @@ def decode_entities(column: Column | str) -> Column:
     names = F.create_map(*[F.lit(v) for pair in K.PAGE_ENTITIES.items() for v in pair])
 
     def decoded(piece: Column) -> Column:
-        body = F.substring(piece, 2, 1_000_000)
+        body = F.substring(piece, F.lit(2), F.length(piece))
         body = F.substring_index(body, ";", 1)
         hexadecimal = F.conv(F.regexp_extract(body, "^#x([0-9A-Fa-f]{1,8})$", 1), 16, 10).cast("long")
         decimal = F.regexp_extract(body, "^#0*([0-9]{1,8})$", 1).try_cast("long")

@@ -245,7 +245,8 @@ def content_ladder(results: DataFrame, scraped: DataFrame, tool_mode: bool = Fal
         text = F.coalesce(given, F.nullif(F.col("snippet"), F.lit("")))
         return (results.withColumn("rung", F.when(given.isNotNull(), "provider").otherwise("snippet"))
                 .withColumn("text", text).filter(F.col("text").isNotNull()))
-    pages = scraped.select("url", F.col("text").alias("_scraped"))
+    # One text a page: blank ones do not count, of several the smallest.
+    pages = scraped.select("url", non_blank("text").alias("_scraped")).groupBy("url").agg(F.min("_scraped").alias("_scraped"))
     joined = results.join(pages, "url", "left")
     return (joined
             .withColumn("rung", F.when(given.isNotNull(), "provider").when(F.col("_scraped").isNotNull(), "scraped")

@@ -250,7 +250,7 @@ def term_freq(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Counts of tokens longer than two characters: (id, term, tf). Counting happens inside each row."""
     return (with_term_weights(df.select(id_col, text_col), text_col, "counts")
             .select(id_col, F.explode("terms").alias("k"))
-            .select(id_col, F.substring("k.key", 2, 1_000_000).alias("term"), F.col("k.weight").cast("long").alias("tf")))
+            .select(id_col, F.expr("substring(k.key, 2)").alias("term"), F.col("k.weight").cast("long").alias("tf")))
 
 
 def intent_profile(df: DataFrame, text_col: str, *group: str) -> DataFrame:

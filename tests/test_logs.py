@@ -126,3 +126,11 @@ def test_windows_with_late_rows(spark, tmp_path):
     found = ST.run_to_table(ST.windowed_event_stats(stream, "1 hour", lateness="10 minutes"))
     counts = {r.window_start: r.n for r in found.collect()}
     assert counts[START] == 2 and counts[START + dt.timedelta(hours=5)] == 3
+
+
+def test_event_stream_reads_a_folder_of_parts(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    for directory in (str(tmp_path), "/root/testdata/sf0.001"):
+        found = ST.run_to_table(ST.read_event_stream(spark, directory, 2))
+        assert found.count() == events.count()

@@ -16,14 +16,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window, WindowSpec
 
+from .session import checkpointed
+
 # Largest row count that is broadcast; the rows broadcast here are short (ids, terms, counters).
 BROADCAST_ROWS = 1_000_000
 # Groups above this many rows are cut into blocks.
 GROUP_ROWS = 2_000_000
-# No more than this many groups can each hold over a thousandth of all rows.
-MAX_HOT_GROUPS = 1_000
-# Blocks per hot group.
-HOT_BLOCKS = 512
 
 BLOCK = "_block"
 CONTEXT = "_context"
@@ -71,45 +69,43 @@ def order_number(column: Column, data_type: T.DataType) -> Column:
 class OrderedGroups:
     """Rows grouped by ``keys`` and ordered by ``order`` (a unique order inside the group).
 
-    ``hot`` holds at most MAX_HOT_GROUPS rows (keys and HOT_BLOCKS - 1 cut points each), which bounds
-    every table that is broadcast here. Without hot groups all methods reduce to plain windows.
+    A group of more than ``group_rows`` rows is cut into blocks of about half as many, so cut points are fewer than
+    four per ``group_rows`` rows of input. Without hot groups all methods reduce to plain windows.
     """
 
     def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str],
-                 group_rows: int = GROUP_ROWS, blocks: int = HOT_BLOCKS):
+                 group_rows: int = GROUP_ROWS):
         self.keys = list(keys)
         self.order = list(order)
-        self.blocks = blocks
         cuts = self._cut_points(df, group_rows)
         self.is_cut = cuts is not None
         self.df = self._with_block(df, cuts) if self.is_cut else df
 
     def _cut_points(self, df: DataFrame, group_rows: int) -> DataFrame | None:
         sizes = df.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("_n"))
-        hot = [r for r in sizes.orderBy(F.col("_n").desc()).limit(MAX_HOT_GROUPS).collect() if r["_n"] > group_rows]
-        if not hot:
+        hot = checkpointed(sizes.filter(F.col("_n") > group_rows))
+        largest = hot.agg(F.max("_n")).first()[0]
+        if largest is None:
             return None
-        spark = df.sparkSession
-        key_schema = T.StructType([df.schema[k] for k in self.keys])
-        hot_keys = spark.createDataFrame([tuple(r[k] for k in self.keys) for r in hot], key_schema)
+        parts = lambda n: F.ceil(n * 2 / F.lit(group_rows)).cast("int")
+        finest = -(-2 * largest // group_rows)
         leading = self.order[0]
         number = order_number(F.col(leading), df.schema[leading].dataType)
-        shares = [i / self.blocks for i in range(1, self.blocks)]
-        cuts = (
-            df.join(F.broadcast(hot_keys), self.keys, "left_semi")
-            .groupBy(*self.keys)
-            .agg(F.array_distinct(F.percentile_approx(number, shares, 10_000)).alias("_cuts"))
-            .collect()
-        )
-        schema = T.StructType([*key_schema.fields, T.StructField("_cuts", T.ArrayType(T.DoubleType()))])
-        return spark.createDataFrame([tuple(r) for r in cuts], schema)
+        shares = [i / finest for i in range(1, finest)]
+        # Quantiles as fine as the largest group needs; smaller groups keep every so many of them.
+        quantiles = (df.join(broadcast_if_small(hot), self.keys).groupBy(*self.keys, "_n")
+                     .agg(F.percentile_approx(number, shares, max(10_000, 10 * finest)).alias("_all")))
+        step = F.lit(finest) / parts(F.col("_n"))
+        kept = F.transform(F.sequence(F.lit(1), parts(F.col("_n")) - 1),
+                           lambda i: F.element_at("_all", F.floor(i * step).cast("int")))
+        return checkpointed(quantiles.select(*self.keys, F.array_distinct(kept).alias("_cuts")))
 
     def _with_block(self, df: DataFrame, cuts: DataFrame) -> DataFrame:
         leading = self.order[0]
         number = order_number(F.col(leading), df.schema[leading].dataType)
         block = F.coalesce(F.size(F.filter("_cuts", lambda cut: cut < number)), F.lit(0))
         return (
-            df.join(F.broadcast(cuts), self.keys, "left")
+            df.join(broadcast_if_small(cuts), self.keys, "left")
             .withColumn(BLOCK, F.when(F.col("_cuts").isNull(), 0).otherwise(block))
             .withColumn("_hot", F.col("_cuts").isNotNull())
             .drop("_cuts")
@@ -146,7 +142,7 @@ class OrderedGroups:
             .agg(fold("_v").alias("_t"))
             .select(*self.keys, BLOCK, fold("_t").over(before).alias("_carried"))
         )
-        joined = df.withColumn(name, local).join(F.broadcast(carried), [*self.keys, BLOCK], "left")
+        joined = df.withColumn(name, local).join(broadcast_if_small(carried), [*self.keys, BLOCK], "left")
         if how == "sum":
             total = F.col(name) + F.coalesce(F.col("_carried"), F.lit(0))
             total = F.coalesce(total, F.col("_carried"))

@@ -13,16 +13,15 @@ from pyspark.sql.window import Window
 
 from ..functions import constants as K, features as feat
 from ..functions.text import terms, tokens
-from ..scale import BROADCAST_ROWS, computed, is_small, spread
+from ..scale import BROADCAST_ROWS, broadcast_if_small, computed, is_small, spread
 from ..session import checkpointed
 
 CHUNK_ID = ["doc_id", "chunk_no"]
 # Class bits of a passage.
 _LONG, _NUMBER, _FORMULA, _FIGURE, _TERMS = 1, 2, 4, 8, 16
 CLASSES = 32
-# A term found in more passages than this is split when the join is shuffled.
+# A term found in more passages than this is split into parts of that size when the join is shuffled.
 HOT_KEY_ROWS = 1_000_000
-HOT_KEY_PARTS = 64
 # Intent bits of a query.
 Q_TERMS, Q_NUMBERS, Q_ANY_NUMBER, Q_EQUATION, Q_REFS, Q_FIGURE = 1, 2, 4, 8, 16, 32
 INTENTS = 64
@@ -96,7 +95,6 @@ def passage_profile(chunks: DataFrame, method: str = "overlap") -> DataFrame:
     profile = with_term_weights(chunks.select(*CHUNK_ID, "source", "page", "text"), "text", method)
     # Only the cosine score is zero for a passage without terms.
     usable = F.size("terms") > 0 if method == "cosine" else F.lit(True)
-    # Computed once and after the shuffle: a filter on the keys must not move them into the scan.
     profile = profile.select(
         *CHUNK_ID, F.length("text").alias("n_chars"), entry_length().alias("entry_len"), "norm",
         _bits((F.length("text") > K.LONG_CHUNK_CHARS, _LONG), (feat.any_number("text"), _NUMBER),
@@ -104,7 +102,15 @@ def passage_profile(chunks: DataFrame, method: str = "overlap") -> DataFrame:
               (usable, _TERMS)).alias("class"),
         F.concat("terms", _prefixed("n", feat.numeric_tokens("text")), _prefixed("e", feat.equation_references("text")),
                  _prefixed("f", feat.figure_references("text")), _prefixed("p", page)).alias("keys"))
-    return computed(profile, keys=F.col("keys"))
+    return profile
+
+
+def stored_profile(chunks: DataFrame, method: str = "overlap") -> DataFrame:
+    """The profile of all passages, tokenised once where the texts lie, then read from the shared folder.
+
+    One shuffle, without texts, puts all keys of a passage into one task; what follows keeps that partitioning.
+    """
+    return checkpointed(passage_profile(spread(chunks), method)).repartition(*CHUNK_ID)
 
 
 def entry_length() -> Column:
@@ -192,15 +198,16 @@ def match_pairs(profile: DataFrame, passages: DataFrame, max_broadcast: int = BR
 
 
 def _split_hot_keys(passage_keys: DataFrame, query_keys: DataFrame) -> DataFrame:
-    # At most a thousand keys are split; partial counts are combined before the shuffle.
+    # Partial counts are combined before the shuffle; a key gets as many parts as its size asks for.
     sizes = passage_keys.groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
-    hot = (sizes.filter(F.col("rows") > HOT_KEY_ROWS).orderBy(F.col("rows").desc()).limit(1_000)
-           .select("key", F.lit(True).alias("hot")))
-    part = F.pmod(F.xxhash64(*CHUNK_ID), F.lit(HOT_KEY_PARTS)).cast("int")
-    parts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(HOT_KEY_PARTS - 1))).otherwise(F.array(F.lit(0)))
-    left = passage_keys.join(F.broadcast(hot), "key", "left").withColumn(
-        "part", F.when(F.col("hot"), part).otherwise(0)).drop("hot")
-    right = query_keys.join(F.broadcast(hot), "key", "left").withColumn("part", F.explode(parts)).drop("hot")
+    hot = checkpointed(sizes.filter(F.col("rows") > HOT_KEY_ROWS)
+                       .select("key", F.ceil(F.col("rows") / HOT_KEY_ROWS).cast("int").alias("parts")))
+    hot = broadcast_if_small(hot)
+    parts = F.coalesce("parts", F.lit(1))
+    left = passage_keys.join(hot, "key", "left").withColumn(
+        "part", F.pmod(F.xxhash64(*CHUNK_ID), parts).cast("int")).drop("parts")
+    right = query_keys.join(hot, "key", "left").withColumn(
+        "part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
     return left.join(right, ["key", "part"]).drop("part")
 
 
@@ -218,8 +225,7 @@ def top_chunks(queries: DataFrame, chunks: DataFrame, k: int = 3, method: str =
     complete a query whose own matches do not fill its list.
     """
     profile = checkpointed(query_profile(spread(queries, "query_id"), method))
-    # One shuffle puts all keys of a passage into one task; what follows keeps that partitioning.
-    passages = passage_profile(chunks.repartition(*CHUNK_ID), method)
+    passages = stored_profile(chunks, method)
     by_query = Window.partitionBy("query_id").orderBy(*rank_order())
     keep = ["query_id", *CHUNK_ID, "n_chars", "score"]
     # Every task cuts its pairs to k per query before they are shuffled.

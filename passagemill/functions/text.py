@@ -60,7 +60,7 @@ def decode_entities(column: Column | str) -> Column:
     def decoded(piece: Column) -> Column:
         body = F.substring(piece, F.lit(2), F.length(piece))
         body = F.substring_index(body, ";", 1)
-        hexadecimal = F.conv(F.regexp_extract(body, "^#x([0-9A-Fa-f]{1,8})$", 1), 16, 10).cast("long")
+        hexadecimal = F.conv(F.regexp_extract(body, "^#x0*([0-9A-Fa-f]{1,8})$", 1), 16, 10).cast("long")
         decimal = F.regexp_extract(body, "^#0*([0-9]{1,8})$", 1).try_cast("long")
         value = (
             F.when(body.startswith("#x"), code_point_text(hexadecimal))
@@ -79,8 +79,8 @@ def drop_elements(column: Column | str) -> Column:
     return F.regexp_replace(_col(column), f"(?is)<({names})[^>]*>.*?</\\1>", "")
 
 
-def html_to_text(column: Column | str, max_chars: int | None = 5000, tables: bool = True) -> Column:
-    """Readable text of an HTML page, cut to a page budget; None keeps the whole text."""
+def html_to_text(column: Column | str, max_chars: int | None = None, tables: bool = True) -> Column:
+    """Readable text of an HTML page; ``max_chars`` cuts it to a page budget."""
     from .markup import tables_to_markdown
 
     html = tables_to_markdown(column) if tables else _col(column)
@@ -188,10 +188,10 @@ def digit_powers(column: Column | str) -> Column:
 
 def split_commands(column: Column | str) -> Column:
     """Put spaces around known formula commands."""
-    text = _col(column)
-    for command in K.FORMULA_COMMANDS:
-        text = F.regexp_replace(text, f"(?<!\\s)(\\\\{command})", " $1")
-        text = F.regexp_replace(text, f"(\\\\{command})(?=[A-Za-z0-9])", "$1 ")
+    # No command is the beginning of another, so one pass before and one behind find them all.
+    names = "|".join(K.FORMULA_COMMANDS)
+    text = F.regexp_replace(_col(column), f"(?<!\\s)(\\\\(?:{names}))", " $1")
+    text = F.regexp_replace(text, f"(\\\\(?:{names}))(?=[A-Za-z0-9])", "$1 ")
     return F.when(_col(column).contains("\\"), text).otherwise(_col(column))
 
 

@@ -137,11 +137,10 @@ def context_key(context: Column, paths: Column, images: Column, web: Column, vis
     text, files, pictures = F.lower(trim_all(context)), joined(paths), joined(images)
     query = F.when(web, F.lower(trim_all(seed))).otherwise("")
     empty = (text == "") & (files == "") & (pictures == "") & (query == "")
-    flag = lambda value: F.when(value, "true").otherwise("false")
-    key = F.concat(text, F.lit("||"), files, F.lit("||img:"), pictures, F.lit("||web:"), flag(web),
-                   F.lit("||webVision:"), flag(vision), F.lit("||query:"), query,
-                   F.lit("||ddg:"), web_cap, F.lit("||wiki:"), encyclopedia_cap)
-    return F.when(empty, "").otherwise(key)
+    asked = F.struct(text.alias("text"), files.alias("files"), pictures.alias("pictures"), web.alias("web"),
+                     vision.alias("vision"), query.alias("query"), web_cap.alias("web_cap"),
+                     encyclopedia_cap.alias("encyclopedia_cap"))
+    return F.when(empty, "").otherwise(F.sha2(F.to_json(asked), 256))
 
 
 def context_cache_hits(requests: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:

@@ -35,10 +35,10 @@ def fold_query(column: Column | str) -> Column:
 
 
 def _accented_letters() -> tuple[str, str]:
-    """Latin letters that decompose into a plain letter and marks, and those plain letters."""
-    letters = [chr(c) for block in ((0xC0, 0x250), (0x1E00, 0x1F00)) for c in range(*block)]
-    pairs = [(c, unicodedata.normalize("NFD", c)[0]) for c in letters]
-    pairs = [(c, plain) for c, plain in pairs if c != plain]
+    """Characters of any script that decompose into a plain one and marks, and those plain ones."""
+    forms = ((chr(c), unicodedata.normalize("NFD", chr(c))) for c in range(0x80, 0x30000) if not 0xD800 <= c < 0xE000)
+    pairs = [(c, form[0]) for c, form in forms
+             if c != form[0] and all(unicodedata.category(mark)[0] == "M" for mark in form[1:])]
     return "".join(c for c, _ in pairs), "".join(plain for _, plain in pairs)
 
 
@@ -132,7 +132,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.75) -> DataFrame:
     the rarest ones of each (prefix filter), so only those terms are joined; candidates are then verified.
     """
     groups = _term_sets(df).groupBy("_key", "terms").agg(F.min("id").alias("id")).select("id", "terms")
-    return _prefix_join(groups, threshold)
+    return _prefix_join(checkpointed(groups), threshold)
 
 
 def _term_sets(df: DataFrame) -> DataFrame:

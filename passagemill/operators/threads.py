@@ -17,6 +17,11 @@ from .merging import first_by
 _KEY, _ORDER = ["conv_id"], ["turn"]
 
 
+def message_id() -> Column:
+    """One number for (conv_id, turn): distinct for turns below 2^32; conv_id from 2^31 on is an overflow error."""
+    return F.col("conv_id") * F.lit(2 ** 32) + F.col("turn")
+
+
 def title_of(text: Column) -> Column:
     body = trim_all(text)
     return F.when(F.length(body) <= K.TITLE_CHARS, body).otherwise(
@@ -31,9 +36,8 @@ def conversation_titles(messages: DataFrame) -> DataFrame:
 
 
 def conversation_list(messages: DataFrame) -> DataFrame:
-    """(conv_id, n_messages, last_turn), most recent first."""
-    return (messages.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_messages"), F.max("turn").alias("last_turn"))
-            .orderBy(F.col("last_turn").desc(), "conv_id"))
+    """(conv_id, n_messages, last_turn); sort by last_turn where the list is shown."""
+    return (messages.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_messages"), F.max("turn").alias("last_turn")))
 
 
 def history_window(messages: DataFrame, n: int = K.HISTORY_MESSAGES, group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -97,11 +101,11 @@ def prior_questions(messages: DataFrame, n: int = K.HISTORY_MESSAGES, group_rows
 
 
 def load_thread(messages: DataFrame, conv_ids: DataFrame) -> DataFrame:
-    """Messages of the given threads in order, any role but user shown as assistant."""
+    """Messages of the given threads, any role but user shown as assistant."""
     wanted = conv_ids.select("conv_id").distinct()
     role = F.when(F.col("role") == "user", "user").otherwise("assistant")
     return (messages.join(broadcast_if_small(wanted), "conv_id", "left_semi")
-            .select("conv_id", "turn", role.alias("role"), "text").orderBy("conv_id", "turn"))
+            .select("conv_id", "turn", role.alias("role"), "text"))
 
 
 def regenerate_from(messages: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -52,7 +52,7 @@ def chat_turns(messages: DataFrame, chunks: DataFrame, response_tokens: int = 50
     before the earlier questions and the question itself.
     """
     users = messages.filter(F.col("role") == "user")
-    key = (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id")
+    key = T.message_id().alias("query_id")
     queries = users.select(key, F.col("text").alias("query"))
     free = (K.CONTEXT_WINDOW - K.INSTRUCTION_TOKENS - K.PROMPT_OVERHEAD_TOKENS - response_tokens) * K.CHARS_PER_TOKEN
     packed = int(free * K.UTILISATION["chat"])

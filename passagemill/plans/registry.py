@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators.threads import message_id
 from ..scale import computed
 from ..session import table
 
@@ -30,7 +31,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def user_turns(spark: SparkSession, directory: str) -> DataFrame:
     """All user turns as queries: (query_id, query)."""
     return table(spark, directory, "conversations").filter(F.col("role") == "user").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"))
+        message_id().alias("query_id"), F.col("text").alias("query"))
 
 
 def whole_documents(spark: SparkSession, directory: str) -> DataFrame:
@@ -42,7 +43,7 @@ def whole_documents(spark: SparkSession, directory: str) -> DataFrame:
         (F.col("doc_id") % 10).cast("int").alias("page"), "text")
 
 
-USER_TURNS_SQL = "SELECT conv_id * 1000 + turn AS query_id, text AS query FROM conversations WHERE role = 'user'"
+USER_TURNS_SQL = "SELECT conv_id * 4294967296 + turn AS query_id, text AS query FROM conversations WHERE role = 'user'"
 WHOLE_DOCUMENTS_SQL = (
     "SELECT doc_id, 0 AS chunk_no, source, 'https://' || source || '.example.org/' || (doc_id % 10) AS url, "
     "CAST(doc_id % 10 AS INT) AS page, text FROM documents")

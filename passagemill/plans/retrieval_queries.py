@@ -10,11 +10,12 @@ from ..scale import spread
 from ..session import checkpointed, table
 from . import jobs, sql as Q
 from .text_queries import chunks_sql
+from ..operators.threads import message_id
 from .registry import USER_TURNS_SQL, WHOLE_DOCUMENTS_SQL, query, user_turns, whole_documents
 
 _RANK = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, n_chars DESC, doc_id, chunk_no)"
 # Turns and documents that also speak of numbers, equations, figures and pages.
-_ASKING = ("SELECT conv_id * 1000 + turn AS query_id, text || CASE turn % 6 WHEN 0 THEN ' explain equation ' || conv_id % 7 "
+_ASKING = ("SELECT conv_id * 4294967296 + turn AS query_id, text || CASE turn % 6 WHEN 0 THEN ' explain equation ' || conv_id % 7 "
            "WHEN 1 THEN ' how many' WHEN 2 THEN ' describe figure ' || conv_id % 5 || ' on page ' || conv_id % 10 "
            "WHEN 3 THEN ' which equation' WHEN 4 THEN ' about ' || conv_id || 'km in fig' ELSE '' END AS query "
            "FROM conversations WHERE role = 'user'")
@@ -30,7 +31,7 @@ def asking_turns(spark, d):
             .when(t % 6 == 2, F.concat(F.lit(" describe figure "), c % 5, F.lit(" on page "), c % 10))
             .when(t % 6 == 3, " which equation").when(t % 6 == 4, F.concat(F.lit(" about "), c, F.lit("km in fig"))).otherwise(""))
     return table(spark, d, "conversations").filter(F.col("role") == "user").select(
-        (c * 1000 + t).alias("query_id"), F.concat("text", tail).alias("query"))
+        message_id().alias("query_id"), F.concat("text", tail).alias("query"))
 
 
 def telling_documents(spark, d):

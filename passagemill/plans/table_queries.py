@@ -48,38 +48,38 @@ def url_key(spark, d):
 
 
 @query("dedupe_queries", f"""
-WITH l AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN upper(substr({Q.trim('text')}, 1, 8)) ELSE substr({Q.trim('text')}, 1, 8) END AS query FROM conversations),
+WITH l AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN translate({Q.trim('text')}, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') ELSE {Q.trim('text')} END AS query FROM conversations),
 k AS (SELECT *, {Q.folded('query')} AS query_key FROM l WHERE {Q.trim('query')} <> '')
-SELECT query_key, count(*) AS n, min(conv_id * 1000 + turn) AS pos, arg_min({Q.trim('query')}, conv_id * 1000 + turn) AS query FROM k GROUP BY query_key""")
+SELECT query_key, count(*) AS n, min(conv_id * 4294967296 + turn) AS pos, arg_min({Q.trim('query')}, conv_id * 4294967296 + turn) AS query FROM k GROUP BY query_key""")
 def dedupe_queries(spark, d):
-    """Openings of all messages, every other one in capitals; first spelling wins."""
+    """All messages, every other one in capitals (a to z); first spelling wins."""
+    from string import ascii_lowercase, ascii_uppercase
+
     from ..functions.text import trim_all
 
-    start = F.substring(trim_all("text"), 1, 8)
+    start = trim_all("text")
     long = conversations(spark, d).select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("pos"),
-        F.when(F.col("turn") % 2 == 0, F.upper(start)).otherwise(start).alias("query"))
+        T.message_id().alias("pos"),
+        F.when(F.col("turn") % 2 == 0, F.translate(start, ascii_lowercase, ascii_uppercase)).otherwise(start).alias("query"))
     counts = long.filter(trim_all("query") != "").groupBy(M.fold_query("query").alias("query_key")).agg(F.count(F.lit(1)).alias("n"))
     return M.dedupe_queries(long).join(counts, "query_key")
 
 
 @query("interleave", f"""
-WITH r AS ({_RESULTS}), f AS (SELECT *, {_KEY} AS url_key FROM (SELECT query_id, list_no, pos, page_id, regexp_replace(url, '#.*$|[?].*$', '') AS url FROM r)),
+WITH r AS ({_RESULTS}), f AS (SELECT *, {_KEY} AS url_key FROM r),
 o AS (SELECT *, row_number() OVER (PARTITION BY query_id, url_key ORDER BY pos, list_no, page_id) AS seen FROM f),
 m AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos, list_no, page_id) AS merged_pos FROM o WHERE seen = 1)
 SELECT query_id, url_key, page_id, merged_pos FROM m WHERE merged_pos <= 8""")
 def interleave(spark, d):
-    """Pages without their query parts, so that some URLs repeat across lists."""
-    bare = F.regexp_replace("url", "#.*$|[?].*$", "")
-    numbered = page_results(spark, d).withColumn("url", bare).withColumn("list_no", F.col("list_no") * 1_000_000_000 + F.col("page_id"))
-    return M.interleave(numbered, 8).select("query_id", "url_key", "page_id", "merged_pos")
+    """Two lists of pages per question take turns."""
+    return M.interleave(page_results(spark, d), 8).select("query_id", "url_key", "page_id", "merged_pos")
 
 
 @query("dedupe_urls", f"""
-SELECT query_id, k AS url_key, min(pos * 1000000 + page_id) AS pos FROM (SELECT *, regexp_replace(url, '[?].*$', '') AS k FROM ({_RESULTS})) GROUP BY ALL""")
+SELECT query_id, url AS url_key, min(pos * 1000000000000 + page_id) AS pos FROM ({_RESULTS}) GROUP BY ALL""")
 def dedupe_urls(spark, d):
-    shouted = F.concat(F.upper(F.regexp_extract("url", "^[^/]*//[^/]*", 0)), F.regexp_extract("url", "^[^/]*//[^/?]*([^?]*)", 1))
-    results = page_results(spark, d).select("query_id", (F.col("pos") * 1_000_000 + F.col("page_id")).alias("pos"),
+    shouted = F.concat(F.upper(F.regexp_extract("url", "^[^/]*//[^/]*", 0)), F.regexp_extract("url", "^[^/]*//[^/]*(.*)$", 1))
+    results = page_results(spark, d).select("query_id", (F.col("pos") * 1_000_000_000_000 + F.col("page_id")).alias("pos"),
                                             shouted.alias("url"))
     return M.dedupe_urls(results).select("query_id", "url_key", "pos")
 
@@ -125,9 +125,9 @@ p AS (SELECT a.id AS id_a, b.id AS id_b, a.n AS n_a, b.n AS n_b, count(*) AS c F
 SELECT id_a, id_b, round(c / (n_a + n_b - c), 9) AS similarity FROM p WHERE round(c / (n_a + n_b - c), 9) >= {threshold}"""
 
 
-@query("near_duplicate_queries", _near("conversations", "conv_id * 1000 + turn", 0.75))
+@query("near_duplicate_queries", _near("conversations", "conv_id * 4294967296 + turn", 0.75))
 def near_duplicate_queries(spark, d):
-    return M.near_duplicates(conversations(spark, d).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text"))
+    return M.near_duplicates(conversations(spark, d).select(T.message_id().alias("id"), "text"))
 
 
 @query("near_duplicate_documents", _near("documents", "doc_id", 0.75))
@@ -178,12 +178,12 @@ def first_successes(spark, d):
 
 
 @query("route_providers", f"""
-WITH q AS (SELECT conv_id * 1000 + turn AS query_id, text || CASE turn % 4 WHEN 0 THEN ' latest' ELSE '' END AS query, CASE WHEN conv_id % 3 = 0 THEN 'fr' ELSE 'es' END AS lang FROM conversations WHERE role = 'user')
+WITH q AS (SELECT conv_id * 4294967296 + turn AS query_id, text || CASE turn % 4 WHEN 0 THEN ' latest' ELSE '' END AS query, CASE WHEN conv_id % 3 = 0 THEN 'fr' ELSE 'es' END AS lang FROM conversations WHERE role = 'user')
 SELECT query_id, 'web' AS provider, 6 AS cap, 8 AS merged_cap, NULL AS encyclopedia_host FROM q WHERE {Q.trim('query')} <> '' UNION ALL
 SELECT query_id, 'encyclopedia', 2, 8, CASE WHEN lang = 'fr' THEN 'fr' ELSE 'en' END || '.wikipedia.org' FROM q WHERE {Q.trim('query')} <> '' AND NOT {Q.temporal_intent('query')}""")
 def route_providers(spark, d):
     turns = conversations(spark, d).filter(F.col("role") == "user").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"),
+        T.message_id().alias("query_id"),
         F.concat("text", F.when(F.col("turn") % 4 == 0, " latest").otherwise("")).alias("query"),
         F.when(F.col("conv_id") % 3 == 0, "fr").otherwise("es").alias("lang"))
     return M.route_providers(turns)
@@ -400,7 +400,7 @@ def _case_label(name: str) -> str:
 
 
 _REQUESTS = f"""WITH pq AS ({_PRIOR.strip()}),
-r AS (SELECT conv_id * 1000 + turn AS query_id, conv_id, turn, text AS question, CASE conv_id % 4 WHEN 0 THEN 'fr' WHEN 1 THEN 'es' WHEN 2 THEN 'en' ELSE 'de' END AS lang, questions,
+r AS (SELECT conv_id * 4294967296 + turn AS query_id, conv_id, turn, text AS question, CASE conv_id % 4 WHEN 0 THEN 'fr' WHEN 1 THEN 'es' WHEN 2 THEN 'en' ELSE 'de' END AS lang, questions,
   CASE WHEN turn % 4 = 0 THEN '' ELSE 'Source: thread ' || conv_id END AS grounding FROM conversations JOIN pq USING (conv_id, turn))"""
 _EARLIER = f"CASE WHEN questions <> '' THEN {_case_label('earlier')} || chr(10) || '- ' || replace(questions, '|', chr(10) || '- ') || chr(10) || chr(10) ELSE '' END"
 
@@ -410,7 +410,7 @@ def _requests(spark, d):
     c = F.col("conv_id")
     prior = T.prior_questions(conversations(spark, d)).withColumnRenamed("questions", "prior")
     return users.join(prior, ["conv_id", "turn"]).select(
-        (c * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("question"), "prior",
+        T.message_id().alias("query_id"), F.col("text").alias("question"), "prior",
         F.when(c % 4 == 0, "fr").when(c % 4 == 1, "es").when(c % 4 == 2, "en").otherwise("de").alias("lang"),
         F.when(F.col("turn") % 4 == 0, " ").otherwise(F.concat(F.lit("Source: thread "), c, F.lit("\n"))).alias("grounding"),
         F.concat(F.lit("Tool: "), F.repeat(F.lit("x"), (c % 5 * 100).cast("int"))).alias("transcript"))
@@ -593,8 +593,7 @@ def latest_request_wins_cut(spark, d):
 @query("context_cache_hits", """
 WITH c AS (SELECT user_id, event_id, CAST(json_extract(props, '$.k') AS INT) AS k, event_type FROM events),
 r AS (SELECT user_id AS session, event_id AS seq, CASE WHEN k % 3 = 0 AND k % 2 <> 0 THEN '' ELSE
-  CASE WHEN k % 3 = 0 THEN '' ELSE 'ask ' || k % 2 END || '||a.pdf|b.pdf||img:||web:' || CASE WHEN k % 2 = 0 THEN 'true' ELSE 'false' END || '||webVision:false||query:' ||
-  CASE WHEN k % 2 = 0 THEN event_type ELSE '' END || '||ddg:6||wiki:2' END AS key0, k FROM c),
+  CASE WHEN k % 3 = 0 THEN 'none' ELSE 'ask ' || k % 2 END || ', ' || CASE WHEN k % 2 = 0 THEN event_type ELSE 'offline' END END AS key0, k FROM c),
 f AS (SELECT *, CASE WHEN k % 3 = 0 AND k % 2 <> 0 THEN '' ELSE key0 END AS key FROM r),
 l AS (SELECT *, lag(key) OVER w AS pk, lag(k % 2) OVER w AS pb, lag(k % 5) OVER w AS pc FROM f WINDOW w AS (PARTITION BY session ORDER BY seq))
 SELECT session, seq, coalesce(pk = key AND pb = k % 2 AND (key = '' OR pc > 0), false) AS hit FROM l""")
@@ -683,20 +682,25 @@ def resolve_language(spark, d):
     return table(spark, d, "documents").select("doc_id", J.resolve_language(prefs).alias("lang"))
 
 
-_CATALOG = "SELECT DISTINCT lang, source AS key, lang || '/' || source AS value FROM documents WHERE n_chars > 3000"
+# The first word of a text is a key of its language.
+_FIRST_WORD = "regexp_extract(text, '^[A-Za-z]+')"
+_CATALOG = f"SELECT DISTINCT lang, {_FIRST_WORD} AS key, lang || '/' || {_FIRST_WORD} AS value FROM documents"
 
 
 def _catalog(spark, d):
-    return table(spark, d, "documents").filter(F.col("n_chars") > 3000).select(
-        "lang", F.col("source").alias("key"), F.concat("lang", F.lit("/"), "source").alias("value")).distinct()
+    first = F.regexp_extract("text", "^[A-Za-z]+", 0)
+    return table(spark, d, "documents").select(
+        "lang", first.alias("key"), F.concat("lang", F.lit("/"), first).alias("value")).distinct()
 
 
 @query("lookup_strings", f"""
-WITH c AS ({_CATALOG}) SELECT d.doc_id, d.lang, d.source AS key, coalesce(o.value, e.value, d.source) AS text FROM documents d
-LEFT JOIN c o ON o.lang = d.lang AND o.key = d.source LEFT JOIN c e ON e.lang = 'en' AND e.key = d.source""")
+WITH c AS ({_CATALOG}), d AS (SELECT doc_id, CASE lang WHEN 'en' THEN 'fr' WHEN 'fr' THEN 'es' ELSE lang END AS lang, {_FIRST_WORD} AS key FROM documents)
+SELECT d.doc_id, d.lang, d.key, coalesce(o.value, e.value, d.key) AS text FROM d
+LEFT JOIN c o ON o.lang = d.lang AND o.key = d.key LEFT JOIN c e ON e.lang = 'en' AND e.key = d.key""")
 def lookup_strings(spark, d):
-    """Strings from the long documents, looked up for all."""
-    wanted = table(spark, d, "documents").select("doc_id", "lang", F.col("source").alias("key"))
+    """Strings from all documents; English ones are asked for in French, French ones in Spanish."""
+    asked = F.when(F.col("lang") == "en", "fr").when(F.col("lang") == "fr", "es").otherwise(F.col("lang"))
+    wanted = table(spark, d, "documents").select("doc_id", asked.alias("lang"), F.regexp_extract("text", "^[A-Za-z]+", 0).alias("key"))
     return J.lookup_strings(wanted, _catalog(spark, d))
 
 

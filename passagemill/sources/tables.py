@@ -14,7 +14,7 @@ from ..session import table
 MAX_LINKS = 20
 
 
-def read_corpus(spark: SparkSession, directory: str, page_chars: int = 5000) -> DataFrame:
+def read_corpus(spark: SparkSession, directory: str, page_chars: int | None = None) -> DataFrame:
     """Documents and crawled pages as one corpus: (origin, doc_id, source, url, lang, text)."""
     none = F.lit(None).cast("string")
     documents = table(spark, directory, "documents").select(

@@ -519,7 +519,7 @@ def loop_guard_cut(spark, d):
 
 @query("stream_loop_guard", _LOOPS)
 def stream_loop_guard(spark, d):
-    return ST.run_to_table(ST.loop_guard(_loops(ST.read_event_stream(spark, d)), window_seconds=6 * 3600))
+    return ST.run_to_end(spark, d, lambda events: ST.loop_guard(_loops(events), window_seconds=6 * 3600))
 
 
 @query("recent_transcript")
@@ -564,7 +564,7 @@ def suppress_unchanged(spark, d):
 
 @query("stream_suppress_unchanged", _CHANGES)
 def stream_suppress_unchanged(spark, d):
-    kept = ST.run_to_table(ST.suppress_unchanged(_keyed(ST.read_event_stream(spark, d))))
+    kept = ST.run_to_end(spark, d, lambda events: ST.suppress_unchanged(_keyed(events)))
     return kept.withColumn("key", F.col("key").cast("long"))
 
 
@@ -660,16 +660,14 @@ def sliding_event_stats(spark, d):
     return _micros(G.windowed_event_stats(_tooled(table(spark, d, "events")), "6 hours", "3 hours"))
 
 
-@query("stream_windowed_event_stats")
+@query("stream_windowed_event_stats", _TUMBLING)
 def stream_windowed_event_stats(spark, d):
-    """Windows that the watermark has closed."""
-    return _micros(ST.run_to_table(ST.windowed_event_stats(_tooled(ST.read_event_stream(spark, d)), "6 hours")))
+    return _micros(ST.run_to_end(spark, d, lambda events: ST.windowed_event_stats(_tooled(events), "6 hours")))
 
 
-@query("stream_debounce")
+@query("stream_debounce", _BURSTS)
 def stream_debounce(spark, d):
-    """Bursts that the watermark has closed."""
-    return ST.run_to_table(ST.debounce(_keyed(ST.read_event_stream(spark, d)), millis=_THREE_HOURS)).select("key", "event_id")
+    return ST.run_to_end(spark, d, lambda events: ST.debounce(_keyed(events), millis=_THREE_HOURS)).select("key", "event_id")
 
 
 # --- lookups -----------------------------------------------------------------------------------------

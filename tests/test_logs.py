@@ -134,3 +134,31 @@ def test_event_stream_reads_a_folder_of_parts(spark, tmp_path):
     for directory in (str(tmp_path), "/root/testdata/sf0.001"):
         found = ST.run_to_table(ST.read_event_stream(spark, directory, 2))
         assert found.count() == events.count()
+
+
+def test_streams_do_not_depend_on_the_cut_into_batches(spark, tmp_path):
+    """Parts with rows out of order, inside the lateness, give what the batch operators give."""
+    schema = "event_id long, ts timestamp, key string"
+    # Seconds of the events of every part; the third part holds one that is late but not too late.
+    parts = [[0, 20], [25, 3], [18, 30], [31, 55], [47, 90]]
+    rows = [(10 * p + i, START + dt.timedelta(seconds=s), "k" if s % 2 else "j") for p, part in enumerate(parts) for i, s in enumerate(part)]
+    for p in range(len(parts)):
+        spark.createDataFrame([r for r in rows if r[0] // 10 == p], schema).coalesce(1).write.mode("append") \
+            .parquet(str(tmp_path / "events.parquet"))
+    batch = spark.createDataFrame(rows, schema)
+
+    def calls(df):
+        return df.select(F.lit("e").alias("expression"), "ts", F.col("event_id").alias("call_id"))
+
+    def snapshots(df):
+        return df.select(F.lit("s").alias("key"), "ts", "event_id", F.col("key").alias("content"))
+
+    def same(found, wanted):
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, wanted.select(found.columns).collect()))
+
+    late = "1 minute"
+    same(ST.run_to_end(spark, str(tmp_path), lambda e: ST.loop_guard(calls(e), late, 10)), G.loop_guard(calls(batch), 10))
+    same(ST.run_to_end(spark, str(tmp_path), lambda e: ST.suppress_unchanged(snapshots(e), late)),
+         G.suppress_unchanged(snapshots(batch)).drop("ts"))
+    same(ST.run_to_end(spark, str(tmp_path), lambda e: ST.debounce(snapshots(e), late, 5000)).select("event_id"),
+         G.debounce(snapshots(batch), 5000).select("event_id"))

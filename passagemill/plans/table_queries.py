@@ -125,9 +125,16 @@ p AS (SELECT a.id AS id_a, b.id AS id_b, a.n AS n_a, b.n AS n_b, count(*) AS c F
 SELECT id_a, id_b, round(c / (n_a + n_b - c), 9) AS similarity FROM p WHERE round(c / (n_a + n_b - c), 9) >= {threshold}"""
 
 
-@query("near_duplicate_queries", _near("conversations", "conv_id * 4294967296 + turn", 0.75))
+_REWORDED = """(SELECT (conv_id * 4294967296 + turn) * 2 AS message, text FROM conversations
+UNION ALL SELECT (conv_id * 4294967296 + turn) * 2 + 1, text || ' reworded' FROM conversations)"""
+
+
+@query("near_duplicate_queries", _near(_REWORDED, "message", 0.75))
 def near_duplicate_queries(spark, d):
-    return M.near_duplicates(conversations(spark, d).select(T.message_id().alias("id"), "text"))
+    """Every message beside a wording of it with one term more."""
+    asked = conversations(spark, d).select((T.message_id() * 2).alias("id"), "text")
+    reworded = asked.select((F.col("id") + 1).alias("id"), F.concat("text", F.lit(" reworded")).alias("text"))
+    return M.near_duplicates(asked.unionByName(reworded))
 
 
 @query("near_duplicate_documents", _near("documents", "doc_id", 0.75))

@@ -235,13 +235,27 @@ def route_shared_links(links: DataFrame, scheme: str) -> DataFrame:
 def dedupe_filenames(files: DataFrame, extension: str = "pdf") -> DataFrame:
     """Unique storage names in arrival order: (file_id, stored); input (file_id, name, ts).
 
-    Later arrivals of a name get " (2)", " (3)" and so on before the extension.
+    Later arrivals of a name get " (2)", " (3)" and so on before the extension; numbers that would give a name which
+    some file already came with are left out.
     """
     clean = F.replace(F.replace(trim_all("name"), F.lit("/"), F.lit("-")), F.lit(":"), F.lit("-"))
     clean = F.coalesce(F.nullif(clean, F.lit("")), F.lit(f"dropped.{extension}"))
     full = F.when(F.lower(clean).endswith(f".{extension}"), clean).otherwise(F.concat(clean, F.lit(f".{extension}")))
     named = files.withColumn("_full", full).withColumn("_base", F.regexp_replace("_full", "\\.[^.]*$", "")) \
         .withColumn("_ext", F.regexp_extract("_full", "\\.([^.]*)$", 1))
-    groups = OrderedGroups(named, ["_base", "_ext"], ["ts", "file_id"]).running("_n", F.lit(1))
-    suffix = F.when(F.col("_n") == 1, "").otherwise(F.concat(F.lit(" ("), F.col("_n"), F.lit(")")))
-    return groups.plain().select("file_id", F.concat("_base", suffix, F.lit("."), F.col("_ext")).alias("stored"))
+    key = ["_base", "_ext"]
+    counted = OrderedGroups(named, key, ["ts", "file_id"]).running("_n", F.lit(1)).plain().select(
+        "file_id", *key, F.col("_n").cast("long").alias("_n"))
+    own_number = "^(.*) \\(([1-9][0-9]{0,17})\\)$"
+    taken = named.select(F.regexp_extract("_base", own_number, 1).alias("_root"), "_ext",
+                         F.nullif(F.regexp_extract("_base", own_number, 2), F.lit("")).cast("long").alias("_number"))
+    taken = taken.filter(F.col("_number") > 1).withColumnRenamed("_root", "_base").distinct()
+    taken = OrderedGroups(taken, key, ["_number"]).running("_i", F.lit(1)).plain()
+    # The n-th arrival is past the i-th taken number where that number less i is under n.
+    both = counted.withColumn("_taken", F.lit(0)).unionByName(taken.select(
+        F.lit(None).cast(counted.schema["file_id"].dataType).alias("file_id"), *key, (F.col("_number") - F.col("_i")).alias("_n"),
+        F.lit(1).alias("_taken")))
+    placed = OrderedGroups(both, key, ["_n", "_taken"]).running("_skipped", F.col("_taken")).plain().filter("_taken = 0")
+    number = F.col("_n") + F.col("_skipped")
+    suffix = F.when(F.col("_n") == 1, "").otherwise(F.concat(F.lit(" ("), number.cast("string"), F.lit(")")))
+    return placed.select("file_id", F.concat("_base", suffix, F.lit("."), F.col("_ext")).alias("stored"))

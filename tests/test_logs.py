@@ -5,6 +5,7 @@ import random
 
 from passagemill.operators import calls as G, layout as L, threads as T
 from passagemill.scale import OrderedGroups
+from passagemill.sources import tables as A
 from passagemill.streaming import calls as ST
 from pyspark.sql import functions as F
 
@@ -162,3 +163,17 @@ def test_streams_do_not_depend_on_the_cut_into_batches(spark, tmp_path):
          G.suppress_unchanged(snapshots(batch)).drop("ts"))
     same(ST.run_to_end(spark, str(tmp_path), lambda e: ST.debounce(snapshots(e), late, 5000)).select("event_id"),
          G.debounce(snapshots(batch), 5000).select("event_id"))
+
+
+def test_file_names_are_unique(spark):
+    def stored(*names):
+        df = spark.createDataFrame([(i, n, i) for i, n in enumerate(names)], "file_id long, name string, ts long")
+        return [r.stored for r in A.dedupe_filenames(df).orderBy("file_id").collect()]
+
+    assert stored("a", "a.pdf", "a (2).pdf") == ["a.pdf", "a (3).pdf", "a (2).pdf"]
+    assert stored("a (2)", "a", "a", "a (4)", "a", "a", "a (2)") == [
+        "a (2).pdf", "a.pdf", "a (3).pdf", "a (4).pdf", "a (5).pdf", "a (6).pdf", "a (2) (2).pdf"]
+    assert stored("a (1)", "a", "a (02)", "a") == ["a (1).pdf", "a.pdf", "a (02).pdf", "a (2).pdf"]
+    rng = random.Random(3)
+    many = stored(*(rng.choice(["b", "b (2)", "b (3)", "b (2) (2)", "b (5)"]) for _ in range(80)))
+    assert len(set(many)) == 80

@@ -171,7 +171,10 @@ def chunk_units(docs: DataFrame, max_chars: int) -> DataFrame:
 
 
 def propagate_headers(chunks: Column) -> Column:
-    """Give table rows that were cut from their header the latest header of the same width."""
+    """Give table rows that were cut from their header the latest header of the same width.
+
+    A chunk whose first row is a header itself, a row above a rule line, keeps it and gets no other.
+    """
     lines = F.transform(chunks, lambda c: F.split(c, "\n"))
     # Rule lines at the very start belong to a table of an earlier chunk.
     lines = F.transform(lines, lambda ls: F.slice(ls, F.coalesce(F.nullif(F.array_position(
@@ -179,13 +182,14 @@ def propagate_headers(chunks: Column) -> Column:
     width = lambda line: F.greatest(F.length(line) - F.length(F.replace(line, F.lit("|"), F.lit(""))) - 1, F.lit(1))
 
     def read(ls: Column) -> Column:
-        pairs = F.zip_with(ls, F.slice(ls, F.lit(2), F.size(ls)), lambda a, b: F.struct(
+        rows = F.filter(F.zip_with(ls, F.slice(ls, F.lit(2), F.size(ls)), lambda a, b: F.struct(
             width(trim_line(a)).alias("width"), F.concat_ws("\n", a, b).alias("head"),
-            (_is_row(a) & ~_is_rule(a) & F.coalesce(_is_rule(b), F.lit(False))).alias("ok")))
-        first = F.element_at(F.filter(ls, lambda l: _is_row(l) & ~_is_rule(l)), 1)
-        rows = F.filter(ls, lambda l: _is_row(l) & ~_is_rule(l))
-        return F.struct(ls.alias("lines"), F.when(F.size(rows) > 0, width(trim_line(F.get(rows, F.lit(0))))).alias("width"),
-                        F.filter(pairs, lambda p: p["ok"]).alias("heads"))
+            F.coalesce(_is_rule(b), F.lit(False)).alias("heads"), (_is_row(a) & ~_is_rule(a)).alias("row"))),
+            lambda r: r["row"])
+        first = F.get(rows, F.lit(0))
+        return F.struct(ls.alias("lines"), F.when(~first["heads"], first["width"]).alias("width"),
+                        F.transform(F.filter(rows, lambda r: r["heads"]), lambda r: F.struct(
+                            r["width"].alias("width"), r["head"].alias("head"))).alias("heads"))
 
     def step(state: Column, item: Column) -> Column:
         known = F.filter(state["heads"], lambda h: h["width"] == item["width"])
@@ -195,7 +199,7 @@ def propagate_headers(chunks: Column) -> Column:
                         F.concat(state["heads"], item["heads"]).alias("heads"))
 
     start = F.struct(F.array().cast("array<string>").alias("out"),
-                     F.array().cast("array<struct<width:int,head:string,ok:boolean>>").alias("heads"))
+                     F.array().cast("array<struct<width:int,head:string>>").alias("heads"))
     folded = F.aggregate(F.transform(lines, read), start, step, lambda s: s["out"])
     has_rule = F.exists(chunks, lambda c: c.rlike(_ANY_RULE))
     return F.when((F.size(chunks) > 1) & has_rule, folded).otherwise(chunks)

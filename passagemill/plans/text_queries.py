@@ -464,6 +464,37 @@ def chunk(spark, d):
     return C.chunk(documents(spark, d).select("doc_id", "source", "lang", "text"))
 
 
+@query("propagate_headers", """
+WITH l AS (SELECT doc_id, unnest(string_split(replace(text, '|', '/'), chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+r AS (SELECT *, '| ' || line || ' | y |' AS two, '| ' || line || ' | y | z |' AS three, chr(10) || '| --- | --- |' || chr(10) AS rule2, chr(10) || '| --- | --- | --- |' || chr(10) AS rule3 FROM l)
+SELECT doc_id, i AS chunk_no, CASE i % 8 WHEN 0 THEN '| h' || i || ' | b |' || rule2 || two WHEN 1 THEN '| h' || (i - 1) || ' | b |' || rule2 || two
+  WHEN 5 THEN '| h' || (i - 5) || ' | b |' || rule2 || two WHEN 4 THEN '| h' || i || ' | b | c |' || rule3 || three
+  WHEN 6 THEN '| h' || (i - 2) || ' | b | c |' || rule3 || three WHEN 2 THEN CASE WHEN i > 8 THEN '| h' || (i - 6) || ' | b | c |' || rule3 ELSE '' END || three ELSE line END AS text FROM r""")
+def propagate_headers(spark, d):
+    """Every line of a document as a chunk: tables of two and three columns, rows cut from them, rows below a stray rule, prose."""
+    def as_chunk(line, i):
+        head = F.concat(F.lit("| h"), i.cast("string"))
+        two, three = (F.concat(F.lit("| "), line, F.lit(end)) for end in (" | y |", " | y | z |"))
+        return (F.when(i % 8 == 0, F.concat(head, F.lit(" | b |\n| --- | --- |\n"), two))
+                .when(i % 8 == 4, F.concat(head, F.lit(" | b | c |\n| --- | --- | --- |\n"), three))
+                .when((i % 8).isin(1, 5), two).when((i % 8).isin(2, 6), F.concat(F.lit("| --- | --- |\n"), three)).otherwise(line))
+
+    lines = F.split(F.replace("text", F.lit("|"), F.lit("/")), "\n")
+    cut = computed(documents(spark, d).select("doc_id", F.transform(lines, as_chunk).alias("_chunks")), _chunks=F.col("_chunks"))
+    return cut.select("doc_id", F.posexplode(C.propagate_headers(F.col("_chunks"))).alias("chunk_no", "text"))
+
+
+@query("content_ladder_tool", """
+SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'provider' ELSE 'snippet' END AS rung,
+  CASE page_id % 3 WHEN 0 THEN 'content of ' || url ELSE 'snippet ' || page_id END AS text FROM pages WHERE page_id % 3 < 2""")
+def content_ladder_tool(spark, d):
+    """Results of a tool call: every third has content of its own, every third a snippet, the others neither."""
+    n = F.col("page_id") % 3
+    results = pages(spark, d).select("page_id", "url", F.when(n == 0, F.concat(F.lit(" content of "), "url", F.lit("\n"))).alias("retrieved"),
+                                     F.when(n < 2, F.concat(F.lit("snippet "), "page_id")).otherwise("").alias("snippet"))
+    return C.content_ladder(results, results.select("url", "snippet"), tool_mode=True).select("page_id", "rung", "text")
+
+
 @query("page_chunks", f"""
 SELECT doc_id, count(*) = 1 AND bool_and(length({Q.trim('text')}) <= 2700) AS whole FROM documents GROUP BY doc_id""")
 def page_chunks(spark, d):

@@ -52,6 +52,8 @@ def test_header_choice(spark):
     assert headers(spark, first, second, "| --- | --- |\n| 6 | 7 | 8 |", "plain") == [
         first, second, "| x | y | z |\n|---|---|---|\n| 6 | 7 | 8 |", "plain"]
     assert headers(spark, "| --- |\nalone") == ["| --- |\nalone"]
+    other = "| c | d |\n| --- | --- |\n| 5 | 6 |"
+    assert headers(spark, first, other, "| 7 | 8 |") == [first, other, "| c | d |\n| --- | --- |\n| 7 | 8 |"]
 
 
 @settings(max_examples=200, deadline=None)

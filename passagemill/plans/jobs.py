@@ -7,6 +7,7 @@ from a persisted chunk table instead of raw documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from ..functions import budgets as B, constants as K
 from ..functions.text import trim_all, truncate_words
@@ -23,25 +24,34 @@ def cite_best(queries: DataFrame, chunks: DataFrame, k: int = K.TOP_CITATIONS, l
 
 
 def search_and_summarise(queries: DataFrame, results: DataFrame, page_texts: DataFrame, response_tokens: int = 500,
-                         merged_limit: int = 8, profile: str = "fast") -> dict[str, DataFrame]:
-    """One question per row to merged results, packed context, shares and re-ranked results.
+                         merged_limit: int = 8, profile: str = "fast", lang: str = "en") -> dict[str, DataFrame]:
+    """One question per row to merged results, packed context, shares, re-ranked results and citations.
 
     queries (query_id, query); results (query_id, list_no, pos, url, title, snippet, retrieved);
-    page_texts (url, text).
+    page_texts (url, text). Citations are those of the best passages, packed or not.
     """
-    merged = M.interleave(results, merged_limit)
-    laddered = C.content_ladder(merged, page_texts)
-    docs = laddered.select(F.xxhash64("query_id", "url_key").alias("doc_id"), "query_id", F.col("title").alias("source"),
-                           "url", F.lit(None).cast("int").alias("page"), "text")
+    merged = checkpointed(M.interleave(results, merged_limit).withColumn(
+        "doc_id", F.xxhash64("url", "title", "snippet", "retrieved")))
+    owners = merged.select("query_id", "doc_id")
+    # Equal results of several questions are one document.
+    fetched = merged.select("doc_id", "url", "title", "snippet", "retrieved").dropDuplicates(["doc_id"])
+    docs = C.content_ladder(fetched, page_texts).select(
+        "doc_id", F.col("title").alias("source"), "url", F.lit(None).cast("int").alias("page"), "rung", "text")
     chunks = checkpointed(C.chunk(docs, *K.WEB_CHUNK))
     free = K.CONTEXT_WINDOW - K.INSTRUCTION_TOKENS - K.PROMPT_OVERHEAD_TOKENS - response_tokens
     chars = int(free * K.CHARS_PER_TOKEN * K.UTILISATION[profile])
-    selected = checkpointed(Z.select_own_context(queries, chunks, chars))
+    scored = Z.score_own(queries, chunks, owners)
+    selected = checkpointed(Z.select_own_context(queries, scored, chars))
     shares = Z.source_share(selected.join(chunks.select(*S.CHUNK_ID, "url"), S.CHUNK_ID))
-    percent = Z.rebalance_percent(shares, merged.select("query_id", "url"))
+    percent = checkpointed(Z.rebalance_percent(shares, merged.select("query_id", "url")))
     shown = merged.select("query_id", F.col("merged_pos").alias("pos"), "url", "title")
+    by_query = Window.partitionBy("query_id").orderBy(*S.rank_order())
+    top = scored.withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") <= K.TOP_CITATIONS)
+    named = chunks.select(*S.CHUNK_ID, "source", "url", "page").join(top, S.CHUNK_ID)
     return {"merged": merged, "selected": selected, "context": Z.context_text(selected, chunks, chars),
-            "percent": percent, "reranked": Z.rerank_results(shown, percent)}
+            "percent": percent, "reranked": Z.rerank_results(shown, percent),
+            "citations": Z.citation_block(named, lang),
+            "rungs": chunks.filter(F.col("chunk_no") == 0).join(owners, "doc_id").select("query_id", "url", "rung")}
 
 
 def chat_turns(messages: DataFrame, chunks: DataFrame, response_tokens: int = 500, context_tokens: int = 3400,

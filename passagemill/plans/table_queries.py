@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K, urls as U
 from ..operators import calls as G, layout as L, lookups as J, merging as M, threads as T
-from ..scale import OrderedGroups, spread
-from ..session import table
+from ..scale import OrderedGroups, numbered, spread
+from ..session import checkpointed, table
 from ..sources import tables as A
 from ..streaming import calls as ST
 from . import jobs, sql as Q
@@ -738,18 +738,53 @@ def entitled_users(spark, d):
     return J.entitled_users(users, purchases, "premium")
 
 
+# Results that a provider sends a question, by how many places the second provider's list starts behind the first's,
+# and by how many the lists of the next question do.
+_SENT, _SHIFT, _STRIDE = 6, 2, 8
+
+
+def dealt_results(questions, pages):
+    """Two overlapping result lists for every question: questions (query_id), pages (n, page_id, url, sent).
+
+    Pages go round over the numbered questions, eight other ones a question, so each question has its own and every
+    page is some question's while there are at most eight times as many. The first provider sends the text it has
+    of a page along.
+    """
+    place = F.explode(F.sequence(F.lit(0), F.lit(_SENT - 1))).alias("pos")
+    slots = (numbered(questions.select("query_id"), "query_id", "i")
+             .select("query_id", "i", F.explode(F.array(F.lit(0), F.lit(1))).alias("list_no"))
+             .select("*", place)
+             .select("query_id", "list_no", "pos", F.pmod(
+                 F.col("i") * _STRIDE + F.col("pos") + F.col("list_no") * _SHIFT,
+                 F.lit(max(1, pages.count()))).alias("n")))
+    return slots.join(pages.drop("text"), "n").select(
+        "query_id", "list_no", "pos", "url", F.concat(F.lit("Page "), "page_id").alias("title"),
+        F.lit("snippet").alias("snippet"), F.when(F.col("list_no") == 0, F.col("sent")).alias("retrieved"))
+
+
+def _asked(spark, d):
+    return conversations(spark, d).filter(F.col("role") == "user").groupBy(F.col("conv_id").alias("query_id")).agg(
+        F.min_by("text", "turn").alias("query"))
+
+
 @query("search_and_summarise")
 def search_and_summarise(spark, d):
-    """Whole search job: pages as two result lists per question, page text where the provider sent none."""
+    """Whole search job: two result lists for every conversation's first question, page text where the provider sent none.
+
+    A row per shown result with its share; the context and the citations of a question stand beside its first result.
+    """
     from ..functions.text import html_to_text
 
-    pages = spread(table(spark, d, "pages"), "page_id")
-    asked = conversations(spark, d).filter(F.col("role") == "user").groupBy(F.col("conv_id").alias("query_id")).agg(
-        F.min_by("text", "turn").alias("query"))
-    results = page_results(spark, d).select(
-        "query_id", "list_no", "pos", "url", F.concat(F.lit("Page "), "page_id").alias("title"), F.lit("snippet").alias("snippet"),
-        F.lit(None).cast("string").alias("retrieved"))
-    texts = pages.select("url", html_to_text("html").alias("text"))
-    asked = asked.join(results.select("query_id").distinct(), "query_id", "left_semi")
-    out = jobs.search_and_summarise(asked, results, texts)
-    return out["reranked"].select("query_id", "url", "place")
+    asked = checkpointed(_asked(spark, d))
+    raw = table(spark, d, "pages")
+    article = html_to_text(F.regexp_extract("html", "(?s)<article[^>]*>(.*)</article>", 1))
+    pages = checkpointed(spread(raw, "page_id").join(numbered(raw.select("page_id"), "page_id", "n"), "page_id").select(
+        "n", "page_id", "url", html_to_text("html").alias("text"),
+        F.when(F.col("page_id") % 3 == 0, article).alias("sent")))
+    out = jobs.search_and_summarise(asked, dealt_results(asked, pages), pages.select("url", "text"))
+    answers = asked.select("query_id", F.lit(1).alias("place")).join(out["context"], "query_id", "left").join(
+        out["citations"], "query_id", "left")
+    shown = out["reranked"].join(out["percent"], ["query_id", "url"], "left").join(out["rungs"], ["query_id", "url"], "left")
+    # A question without any result keeps its row.
+    return shown.join(answers, ["query_id", "place"], "full").select(
+        "query_id", "url", "place", F.coalesce("pct", F.lit(0)).alias("pct"), "rung", "context", "citations")

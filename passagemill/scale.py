@@ -59,6 +59,20 @@ def computed(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*kept, F.explode(F.array(packed)).alias("_computed")).select(*kept, "_computed.*")
 
 
+def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Rows numbered from 0 without gaps in the order of a unique key: ranges are numbered side by side, and only their
+    row counts are added up in one place."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    ranged = checkpointed(df.repartitionByRange(max(slots, df.rdd.getNumPartitions()), key)
+                          .withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_range", F.coalesce(F.sum("_n").over(
+        Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1
+    return (ranged.withColumn(name, inside).join(F.broadcast(before), "_range")
+            .withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_before"))
+
+
 def order_number(column: Column, data_type: T.DataType) -> Column:
     """Ordering column as a double, so that quantiles can cut it."""
     if isinstance(data_type, (T.TimestampType, T.TimestampNTZType)):

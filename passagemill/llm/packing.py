@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import base64
+import json
+import re
 from collections import deque
 
 import numpy as np
@@ -22,16 +24,33 @@ BROKEN_COST = 16
 STRETCH = 1 << 18
 # Documents that are tokenised at a time.
 DOCUMENTS = 64
+# White space in a row from which the tokenizer file is asked: the pattern's look-ahead goes back over a run, and
+# tiktoken's stack of such steps ends at a million.
+WHITE = 100_000
 
 
-def load_encoder(ranks: str, pattern: str):
-    """Byte-level encoder of a rank file: the same ids as the tokenizer file of the same vocabulary, with the strings
-    of special tokens as ordinary text."""
+def load_encoder(ranks: str, pattern: str, vocabulary: str):
+    """Function from text to ids, and the bytes of every id. The ids are those of the tokenizer file ``vocabulary``;
+    tiktoken finds the same ones sooner, but for texts with added tokens and with very long runs of white space."""
     import tiktoken
+    from tokenizers import Tokenizer
 
     with open(ranks, "rb") as lines:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=table, special_tokens={}), table
+    fast = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+    whole = None
+    with open(vocabulary, encoding="utf-8") as file:
+        added = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+
+    def encode(text: str) -> list[int]:
+        nonlocal whole
+        if any(token in text for token in added) or (
+                len(text) >= WHITE and any(m.end() - m.start() >= WHITE for m in re.finditer(r"\s+", text))):
+            whole = whole or Tokenizer.from_file(vocabulary)
+            return whole.encode(text, add_special_tokens=False).ids
+        return fast.encode_ordinary(text)
+
+    return encode, table | {token.encode(): i for token, i in added.items()}
 
 
 def sentence_ends(table: dict[bytes, int]) -> np.ndarray:
@@ -92,7 +111,7 @@ def candidates(ids: np.ndarray, document_ends: np.ndarray, may_end: np.ndarray,
 
 
 def pack(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text: str = "text",
-         length: int = LENGTH) -> DataFrame:
+         length: int = LENGTH, vocabulary: str | None = None) -> DataFrame:
     """One row per piece: (key, start, length, ids, doc_tokens, sequence_id, offset); ids are little-endian unsigned
     32-bit numbers.
 
@@ -102,13 +121,16 @@ def pack(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text: s
     that is open at the end of a stretch is cut anew with the next one. A sequence's number holds its partition's, so
     it is unique; a task that is run again makes the same.
 
+    ``vocabulary`` is the tokenizer file of the rank file, by default the one of its name with the ending ``.json``.
+    Its added tokens in a text are tokens.
+
     Null or empty text: the end mark alone. Very long texts: as many windows as needed. Repeated rows: packed each.
     Null keys stay null. Empty input: no rows. Other columns are not read.
     """
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
-        encoder, table = load_encoder(ranks, pattern)
+        encode, table = load_encoder(ranks, pattern, vocabulary or ranks.removesuffix(".tiktoken") + ".json")
         may_end = sentence_ends(table)
         number = TaskContext.get().partitionId() << 36
         names = ["key", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
@@ -153,7 +175,7 @@ def pack(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text: s
             for at in range(0, batch.num_rows, DOCUMENTS):
                 part = batch.slice(at, DOCUMENTS)
                 for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    tokens = np.array([*encoder.encode_ordinary(t or ""), END], np.int64)
+                    tokens = np.array([*encode(t or ""), END], np.int64)
                     pending.append((k, len(tokens), 0, tokens))
                     held += len(tokens)
                     if held >= STRETCH:

@@ -47,6 +47,20 @@ def test_pieces_are_whole_documents(spark, odd, nothing):
     assert packing.packed(nothing).collect() == []
 
 
+def test_ids_are_the_tokenizer_files(spark):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["End of it. <|endoftext|> More.", "<|endoftext|>", "<|endoftext|><|endoftext|>\n", "<|endoftext |>",
+             "a" + " " * 1_010_000 + "b", "a" + "\n" * 1_200_000, "a" + "\u00a0" * 100_000 + "b", " " * 99_999 + "b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = packing.pack(df, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()
+    by_key = whole(found)
+    for key, text in enumerate(texts):
+        parts = sorted(by_key[key], key=lambda r: r.start)
+        ids = [i for r in parts for i in np.frombuffer(r.ids, "<u4")]
+        assert ids == tokenizer.encode(text, add_special_tokens=False).ids + [0], text[:30]
+    assert 50256 in np.frombuffer(by_key[0][0].ids, "<u4")
+
+
 def test_little_padding(spark):
     found = packing.packed_documents(spark, "/root/testdata/sf0.01")
     total = found.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.sum("n"), F.count("n")).first()

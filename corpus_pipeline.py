@@ -42,8 +42,8 @@ STAGES = [
     ("packing", sequences),
 ]
 
-# Tokenising, sets of shingles with components, and the discriminant's fit are beyond SQL; tests compare the whole
-# run with plain code instead.
+# Tokenising, sets of shingles with components, and the discriminant's fit are beyond SQL. Tests compare
+# operators on their own with plain code (quality only with labels and fixtures); none runs all stages against it.
 ORACLE_SQL = None
 
 

@@ -161,8 +161,7 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     measured = rows.withColumn("base_failed", base_failed()).withColumns(rule_statistics())
     marked = labels.filter("quality = 1").select(F.col(f"`{key}`").alias("_key")).filter("_key IS NOT NULL").distinct()
     good = measured.filter("NOT base_failed").select("_key", "stratum", *GRID).join(marked, "_key").drop("_key")
-    strata = rows.agg(F.approx_count_distinct("stratum", 0.01).alias("n"), F.max("stratum")).first()["n"]
-    found = stored(cutoffs(good, int(strata * 1.1) + 1 if strata > 50 else max(1, strata)))
+    found = stored(cutoffs(good, max(1, rows.select("stratum").distinct().count())))
     limits = found.select(F.col("stratum").alias("_s"), *[F.col(r).alias(f"_max_{r}") for r in GRID])
     over = F.lit(False)
     for rule in GRID:

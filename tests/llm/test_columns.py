@@ -167,6 +167,15 @@ def test_cutoffs_limit_false_rejections(spark):
     assert found["fr"].symbol_share is None
 
 
+def test_strata_are_counted_exactly(spark, labels, monkeypatch):
+    counted, cutoffs = [], rules.cutoffs
+    monkeypatch.setattr(rules, "cutoffs", lambda good, strata: counted.append(strata) or cutoffs(good, strata))
+    for n in (3, 50, 60, 1000):
+        docs = spark.range(2 * n).selectExpr("id AS doc_id", f"nullif(concat('l', id % {n}), 'l0') AS lang", "'a b' AS text")
+        rules.judge(docs, labels)
+        assert counted.pop() == n
+
+
 def test_rules_on_odd_rows(spark, odd, nothing, labels):
     found = rules.judge(odd, labels).collect()
     assert len(found) == odd.count()

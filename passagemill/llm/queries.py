@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bytepairs, jaccard, mixing, ogg, packing, quality, repeats, reputation, rules, sharding, wordpieces
+from . import alignment, bytepairs, jaccard, mixing, ogg, packing, quality, repeats, reputation, rules, sharding, wordpieces
 
 QUERIES = {
     "op1_mix_sources": mixing.mixed_documents,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_token_counts": wordpieces.counted_documents,
     "op9_risk_rules": rules.judged_documents,
     "op10_jaccard_groups": jaccard.grouped_documents,
+    "op11_align_tokens": alignment.aligned_documents,
     "op13_byte_bpe": bytepairs.encoded_documents,
 }
 

@@ -114,13 +114,16 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return data + (upper.astype(np.uint8) << np.uint8(5))
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and documents of all words; words end at the six white-space bytes and at a document's end."""
+def word_spans(data: np.ndarray, offsets: np.ndarray,
+               solid: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and documents of all words; words end at bytes that are not ``solid``, by default the six
+    white-space bytes, and at a document's end."""
     n = len(data)
     if n == 0:
         none = np.zeros(0, np.int64)
         return none, none, none
-    solid = (data != 32) & ((data < 9) | (data > 13))
+    if solid is None:
+        solid = (data != 32) & ((data < 9) | (data > 13))
     border = np.zeros(n + 1, bool)
     border[offsets] = True
     before = np.empty(n, bool)

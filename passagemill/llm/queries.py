@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, bytepairs, jaccard, mixing, ogg, packing, quality, repeats, reputation, rules, sharding, wordpieces
+from . import alignment, bytepairs, collocations, jaccard, mixing, ogg, packing, quality, repeats, reputation, rules, sharding, wordpieces
 
 QUERIES = {
     "op1_mix_sources": mixing.mixed_documents,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_risk_rules": rules.judged_documents,
     "op10_jaccard_groups": jaccard.grouped_documents,
     "op11_align_tokens": alignment.aligned_documents,
+    "op12_collocations": collocations.mined_documents,
     "op13_byte_bpe": bytepairs.encoded_documents,
 }
 
@@ -23,4 +24,5 @@ SQL = {
     "op1_mix_sources": mixing.MIXED_DOCUMENTS_SQL,
     "op4_url_reputation": reputation.JUDGED_PAGES_SQL,
     "op7_shards": sharding.SHARDED_DOCUMENTS_SQL,
+    "op12_collocations": collocations.MINED_DOCUMENTS_SQL,
 }

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 # Bytes of text that are worked on at a time inside a task; the arrays of one slice are some 30 times as big.
 SLICE_BYTES = 1 << 20
@@ -134,3 +135,22 @@ def word_spans(data: np.ndarray, offsets: np.ndarray,
     ends = np.flatnonzero(solid & (~after | border[1:])) + 1
     documents = np.searchsorted(offsets, starts, side="right") - 1
     return starts, ends, documents
+
+
+def distinct_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """The number of every word data[start:end), and the different words in the order of their numbers. Words are told
+    apart by their bytes; they ascend and do not overlap."""
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[starts] += 1
+    inside[ends] -= 1
+    letters = np.ascontiguousarray(data[np.cumsum(inside[:-1], dtype=np.int8).astype(bool)])
+    edges = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    found = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(letters)])
+    found = found.dictionary_encode()
+    return found.indices.to_numpy(zero_copy_only=False), found.dictionary.to_pylist()
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words' bytes."""
+    number, words = distinct_words(data, starts, ends)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))[number]

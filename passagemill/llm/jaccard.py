@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .arrays import Powers, lowered, mixed, prefix_hash, span_hash, text_bytes, tidy_batches, tidy_table, word_spans
+from .arrays import lowered, mixed, text_bytes, tidy_batches, tidy_table, word_hashes, word_spans
 from .blocks import (ROW_BITS, bucket_count, bucket_of, by_bucket, found_in, groups_of, low_half, rows_of, squeeze,
                      store_blocks, unsqueeze, with_answers)
 from .common import discard, read, stored
@@ -32,10 +32,9 @@ VERIFY = 0.05
 def shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the distinct shingles of every document, and their documents, sorted by both. Fewer words
     than a shingle has: the whole sequence is the only one. A-Z count as a-z."""
-    powers = Powers()
     data = lowered(data)
     starts, ends, documents = word_spans(data, offsets)
-    names = span_hash(prefix_hash(data, powers), starts, ends, powers)
+    names = word_hashes(data, starts, ends)
     counts = np.bincount(documents, minlength=len(offsets) - 1)
     n = len(names)
     hashes = np.zeros(max(0, n - words + 1), np.uint64)

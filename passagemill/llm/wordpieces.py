@@ -9,13 +9,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .arrays import Powers, prefix_hash, slices, span_hash, text_bytes, tidy_batches, word_spans
+from .arrays import distinct_words, slices, text_bytes, tidy_batches, word_spans
 from .common import read
 
 # Words up to this many bytes run through the automaton side by side, longer ones alone.
 SIDE_BY_SIDE = 64
-# Piece counts of this many different words are remembered at most; then the memory starts anew.
-REMEMBERED = 1 << 19
+# Piece counts of about this many different words are remembered, long words aside; then the memory starts anew.
+REMEMBERED = 1 << 18
 
 
 def load_vocabulary(path: str) -> list[bytes]:
@@ -130,8 +130,7 @@ def count_pieces(docs: DataFrame, tokens: list[bytes], key: str = "doc_id", text
     kind = docs.schema[key].dataType
 
     def run(batches):
-        powers = Powers()
-        known, known_counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        known: dict[bytes, int] = {}
         for batch in batches:
             keys = batch.column(0)
             data, offsets = text_bytes(batch.column(1))
@@ -139,25 +138,19 @@ def count_pieces(docs: DataFrame, tokens: list[bytes], key: str = "doc_id", text
                 low, high = offsets[first], offsets[last]
                 part, places = data[low:high], offsets[first:last + 1] - low
                 starts, ends, documents = word_spans(part, places)
-                names, index, back = np.unique(span_hash(prefix_hash(part, powers), starts, ends, powers),
-                                               return_index=True, return_inverse=True)
-                place = np.searchsorted(known, names)
-                hit = np.zeros(len(names), bool)
-                hit[place < len(known)] = known[place[place < len(known)]] == names[place < len(known)]
-                pieces = np.zeros(len(names), np.int64)
-                pieces[hit] = known_counts[place[hit]]
-                new = index[~hit]
-                pieces[~hit] = counter.many(part, starts[new], ends[new])
+                number, words = distinct_words(part, starts, ends)
+                some = np.zeros(len(words), np.int64)
+                some[number] = np.arange(len(number))  # one place of each word
+                pieces = np.array([known.get(w, -1) for w in words], np.int64)
+                new = np.flatnonzero(pieces < 0)
+                pieces[new] = counter.many(part, starts[some[new]], ends[some[new]])
                 if len(known) > REMEMBERED:
-                    known, known_counts = names, pieces
-                else:
-                    joined = np.concatenate([known, names[~hit]])
-                    order = np.argsort(joined, kind="stable")
-                    known, known_counts = joined[order], np.concatenate([known_counts, pieces[~hit]])[order]
+                    known.clear()
+                known.update((words[i], int(pieces[i])) for i in new if len(words[i]) <= SIDE_BY_SIDE)
                 n = last - first
                 yield pa.RecordBatch.from_arrays([
                     keys.slice(first, n), pa.array(np.bincount(documents, minlength=n).astype(np.int64)),
-                    pa.array(np.bincount(documents, weights=pieces[back], minlength=n).astype(np.int64))],
+                    pa.array(np.bincount(documents, weights=pieces[number], minlength=n).astype(np.int64))],
                     names=["key", "n_words", "n_pieces"])
 
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))

@@ -111,6 +111,13 @@ def tightest(rejected: list[int], n: int, risk: float, error: float) -> int | No
     return best
 
 
+def points(rule: str) -> list[float]:
+    """The cutoffs of a rule, loosest first. Each is one division of whole numbers, as the statistics are, and both
+    are rounded alike: comparing the two doubles is comparing the fractions."""
+    loose, tight, n = GRID[rule]
+    return [(tight * i + loose * (n - i)) / n for i in range(n + 1)]
+
+
 def cutoffs(good: DataFrame, strata: int, risk: float = RISK, error: float = ERROR) -> DataFrame:
     """(stratum, a cutoff or null for each rule) from the counts of good labelled documents.
 
@@ -120,23 +127,22 @@ def cutoffs(good: DataFrame, strata: int, risk: float = RISK, error: float = ERR
     rules = list(GRID)
     steps = []
     for rule in rules:
-        loose, tight, n = GRID[rule]
-        # The first cutoff, loosest first, that the value is above.
-        above = F.greatest(F.lit(0), F.floor((loose - F.col(rule)) / ((loose - tight) / n)) + 1)
-        steps.append(F.struct(F.lit(rule).alias("rule"), F.least(above, F.lit(n + 1)).cast("int").alias("step")))
+        # The first cutoff, loosest first, that the value is above: as many as it is not above come before.
+        kept = F.size(F.filter(F.array(*map(F.lit, points(rule))), lambda cutoff: F.col(rule) <= cutoff))
+        steps.append(F.struct(F.lit(rule).alias("rule"), kept.alias("step")))
     counted = good.select("stratum", F.explode(F.array(*steps)).alias("s")).groupBy("stratum", "s.rule", "s.step").agg(
         F.count(F.lit(1)).alias("n"))
 
     def test(frame: pd.DataFrame) -> pd.DataFrame:
         found = {"stratum": frame["stratum"].iloc[0]}
         for rule in rules:
-            loose, tight, n = GRID[rule]
+            grid = points(rule)
             by_step = frame[frame["rule"] == rule].groupby("step")["n"].sum()
             total, rejected = int(by_step.sum()), []
-            for i in range(n + 1):
+            for i in range(len(grid)):
                 rejected.append(int(by_step.get(i, 0)) + (rejected[-1] if rejected else 0))
             best = tightest(rejected, total, risk / len(rules), error / max(1, strata * len(rules)))
-            found[rule] = None if best is None else loose - best * ((loose - tight) / n)
+            found[rule] = None if best is None else grid[best]
         return pd.DataFrame([found]).astype({r: "float64" for r in rules})
 
     return counted.groupBy("stratum").applyInPandas(test, "stratum string, " + ", ".join(f"{r} double" for r in rules))

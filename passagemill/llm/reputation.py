@@ -76,7 +76,7 @@ def _strength(groups: DataFrame) -> DataFrame:
 
     Few or equal groups give no spread to see; the strength is then held at 1,000 outcomes, and at 2 from below.
     """
-    totals = groups.agg(F.sum("n").alias("all"), F.sum("bad").alias("bads"), F.count(F.lit(1)).alias("k"),
+    totals = groups.filter("n > 0").agg(F.sum("n").alias("all"), F.sum("bad").alias("bads"), F.count(F.lit(1)).alias("k"),
                         F.sum(F.col("n") * F.col("n")).alias("squares"),
                         F.sum(F.col("bad") * F.col("bad") / F.col("n")).alias("parts"))
     mean = F.try_divide("bads", "all")
@@ -115,17 +115,23 @@ def above(alpha: Column, beta: Column, limit: float) -> Column:
     return over / total
 
 
-def host_reputations(outcomes: DataFrame, max_bad: float = MAX_BAD, certainty: float = CERTAINTY) -> DataFrame:
-    """(host, n, bad, rate, above, blocked) from labelled outcomes (host, bad 0/1), one row per page.
+def host_reputations(outcomes: DataFrame, max_bad: float = MAX_BAD, certainty: float = CERTAINTY,
+                     others: DataFrame | None = None) -> DataFrame:
+    """(host, n, bad, rate, above, blocked) from labelled outcomes (host, bad 0/1), one row per page, and for ``others``
+    (host), which need no outcomes.
 
     Three levels of beta-binomial shrinkage: a suffix's rate is drawn to the overall rate, a registered domain's to
     its suffix's, a host's to its domain's, each with the strength that the spread on that level shows. A host is
-    blocked if its posterior rate of bad pages is above ``max_bad`` with probability ``certainty``. Outcomes are
-    added up by host before anything moves. Hosts without outcomes have no row; ``judge`` allows them. Empty
-    outcomes: no rows.
+    blocked if its posterior rate of bad pages is above ``max_bad`` with probability ``certainty``. A host without
+    outcomes has its domain's rate as posterior mean, one of an unseen domain its suffix's, one of an unseen suffix
+    the overall rate. A prior's counts include those of the host itself. Outcomes are added up by host before anything
+    moves. Null hosts have no row. No outcomes: the rate is 0, so all hosts are allowed. No hosts: no rows.
     """
+    rows = outcomes.select("host", F.lit(1).alias("one"), "bad")
+    if others is not None:
+        rows = rows.unionByName(others.select("host", F.lit(0).alias("one"), F.lit(0).alias("bad")))
     hosts = stored(
-        outcomes.groupBy("host").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("bad").cast("double").alias("bad"))
+        rows.filter("host IS NOT NULL").groupBy("host").agg(F.sum("one").cast("double").alias("n"), F.sum("bad").cast("double").alias("bad"))
         .withColumn("name", name_of(F.col("host")))
         .withColumn("domain", domain_of(F.col("name"))).withColumn("suffix", suffix_of(F.col("name"))))
     counts = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
@@ -153,8 +159,10 @@ def host_reputations(outcomes: DataFrame, max_bad: float = MAX_BAD, certainty: f
 def judge(pages: DataFrame, url: Column, reputations: DataFrame, rules=RULES) -> DataFrame:
     """Every row of ``pages`` in the column ``_row``, with ``host``, ``path``, ``rule`` and ``verdict``.
 
-    Null url or no ``://``: host and path empty, no rule, allowed. Repeated rows: judged each. Reputations are joined
-    by host; Catalyst broadcasts them if their stored size allows, else a skewed host is split by AQE.
+    Null url or no ``://``: host and path empty, no rule; the empty host is judged as any other. A host without
+    reputation is allowed. Very long urls: whole. Repeated rows: judged each. Other columns ride along inside ``_row``,
+    whatever their names. Empty input: no rows. Reputations are joined by host; Catalyst broadcasts them if their stored
+    size allows, else a skewed host is split by AQE.
     """
     rows = carried(pages, host=host_of(url), path=path_of(url))
     ruled = rows.withColumn("hit", rule_of(F.col("host"), F.col("path")))
@@ -171,9 +179,9 @@ def judged_pages(spark, directory: str) -> DataFrame:
     labels = read(spark, directory, "labels", "doc_id", "quality", "toxic").filter("doc_id IS NOT NULL")
     bad = F.greatest(F.coalesce(1 - F.col("quality"), F.lit(0)), F.coalesce(F.col("toxic"), F.lit(0)))
     by_page = labels.groupBy(F.col("doc_id").alias("_id")).agg(F.max(bad).alias("bad"))
-    outcomes = pages.select("page_id", host_of(F.col("url")).alias("host")).join(
-        by_page, F.col("page_id") == F.col("_id")).select("host", "bad")
-    reputations = stored(host_reputations(outcomes))
+    hosts = pages.select("page_id", host_of(F.col("url")).alias("host"))
+    outcomes = hosts.join(by_page, F.col("page_id") == F.col("_id")).select("host", "bad")
+    reputations = stored(host_reputations(outcomes, others=hosts))
     return judge(pages, F.col("url"), reputations).select(f"{ROW}.page_id", "host", "path", "rule", "verdict")
 
 
@@ -189,7 +197,7 @@ def _strength_sql(level: str) -> str:
                      (bads - parts) / nullif(total - k, 0) AS within_,
                      (total - squares / total) / nullif(k - 1, 0) AS size
               FROM (SELECT sum(n) AS total, sum(bad) AS bads, count(*) AS k, sum(n * n) AS squares,
-                           sum(bad * bad / n) AS parts, sum(bad) / sum(n) AS mean FROM {level})))"""
+                           sum(bad * bad / n) AS parts, sum(bad) / sum(n) AS mean FROM {level} WHERE n > 0)))"""
 
 
 _NAME = "regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '')"
@@ -212,9 +220,9 @@ ruled AS (
 labelled AS (
   SELECT doc_id, max(greatest(coalesce(1 - quality, 0), coalesce(toxic, 0))) AS bad FROM labels GROUP BY doc_id),
 hosts AS (
-  SELECT host, CAST(count(*) AS DOUBLE) AS n, CAST(sum(l.bad) AS DOUBLE) AS bad,
+  SELECT host, CAST(count(doc_id) AS DOUBLE) AS n, CAST(coalesce(sum(l.bad), 0) AS DOUBLE) AS bad,
          string_split({_NAME}, '.') AS p
-  FROM parsed JOIN labelled l ON page_id = doc_id GROUP BY host),
+  FROM parsed LEFT JOIN labelled l ON page_id = doc_id GROUP BY host),
 named AS (
   SELECT host, n, bad,
          CASE WHEN len(p) > 2 AND array_to_string(p[-2:], '.') IN {_TWO} THEN array_to_string(p[-3:], '.')

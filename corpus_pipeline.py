@@ -30,8 +30,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of up to 1,024 tokens."""
-    return packing.packed(spread(docs))
+    """Pieces of documents in sequences of up to 1,024 tokens, in the order in which they are stored."""
+    return packing.packed(docs)
 
 
 STAGES = [

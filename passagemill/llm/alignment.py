@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -16,11 +17,15 @@ from .blocks import BLOCK_BITS, pack_rows, rows_of, squeeze, unsqueeze, with_ans
 from .common import discard, read, stored
 
 # Texts that are tokenised at a time hold about this many characters, one text at least.
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 19
 # A block holds whole documents with about this many tokens of the first tokenizer.
 BLOCK_TOKENS = 1 << 19
 # White space in a row from which the tokenizer file itself is asked: tiktoken's stack ends at a million.
 WHITE = 100_000
+# Ids of this many different parts of texts are remembered, long ones aside; then the memory starts anew.
+REMEMBERED = 1 << 18
+LONG_PART = 64
+_PART = re.compile(r" *[^ ]+| +")
 _WHITE_RUN = re.compile(r"\s{%d}" % WHITE)
 
 
@@ -55,20 +60,39 @@ class BytePieces:
 
 
 class SentencePieces:
-    """Ids of a sentencepiece model, which puts a space before a text, and the bytes of every id."""
+    """Ids of a sentencepiece model, which puts a space before a text, and the bytes of every id.
+
+    No piece holds a space behind another character, so a text falls into independent parts, each of some spaces and
+    what follows them up to the next; the ids of short parts are remembered. A model with other pieces is refused.
+    """
 
     def __init__(self, model: bytes):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.tokens = []
-        for i in range(self.model.get_piece_size()):
-            piece = self.model.id_to_piece(i)
-            self.tokens.append(bytes([int(piece[3:5], 16)]) if self.model.is_byte(i)
-                               else piece.replace("▁", " ").encode())
-
-    def encode_all(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1)
+        pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        if any("▁" in piece.lstrip("▁") for piece in pieces):
+            raise ValueError("a piece holds a space behind another character")
+        self.tokens = [bytes([int(piece[3:5], 16)]) if self.model.is_byte(i) else piece.replace("▁", " ").encode()
+                       for i, piece in enumerate(pieces)]
+        self.known: dict[str, bytes] = {" ": array("I", [self.model.piece_to_id("▁")]).tobytes()}
+
+    def encode(self, texts: list[str]) -> list[bytes | None]:
+        """Ids of a space and each text, as this machine's unsigned ints; None if their bytes differ from it."""
+        parts = [_PART.findall(" " + text) for text in texts]
+        new = list(set().union(*parts).difference(self.known))
+        # The model puts the first space of a part there itself.
+        for part, ids in zip(new, self.model.encode([part[1:] for part in new], num_threads=1)):
+            same = b"".join(map(self.tokens.__getitem__, ids)) == part.encode()
+            self.known[part] = array("I", ids).tobytes() if same else b""
+        found = [list(map(self.known.__getitem__, some)) for some in parts]
+        if len(self.known) > REMEMBERED:
+            self.known = {" ": self.known[" "]}
+        else:
+            for part in new:
+                if len(part) > LONG_PART:
+                    del self.known[part]
+        return [b"".join(some) if all(some) else None for some in found]
 
 
 def _ranges(first: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,12 +153,20 @@ def align(docs: DataFrame, vocabulary: str, pattern: str, model: str, key: str =
 
     Groups lie between the byte offsets at which a token of A and one of B both end. Rows are worked on where they
     are; nothing is shuffled. Both files are read on the driver and travel with the job, a few MB bounded by the
-    vocabularies. A task holds texts of about a million characters, one text at least.
+    vocabularies. A task holds texts of about half a million characters, one text at least.
 
     Null or empty text, and text whose bytes either tokenizer changes: no tokens and no groups. Very long texts: whole,
     in n log n steps. Repeated rows: each. Null keys stay null. Empty input: no rows. Other columns are not read.
     """
     kind = docs.schema[key].dataType.simpleString()
+    rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    return rows.mapInArrow(tidy_batches(_aligner(vocabulary, pattern, model)),
+                           f"key {kind}, a_ids binary, b_ids binary, a_cuts binary, b_cuts binary"
+                           ).withColumnRenamed("key", key)
+
+
+def _aligner(vocabulary: str, pattern: str, model: str):
+    """From batches of (key, text) to batches of (key, a_ids, b_ids, a_cuts, b_cuts)."""
     with open(vocabulary, encoding="utf-8") as file:
         a_file = file.read()
     with open(model, "rb") as file:
@@ -143,21 +175,18 @@ def align(docs: DataFrame, vocabulary: str, pattern: str, model: str, key: str =
     def run(batches):
         a_pieces, b_pieces = BytePieces(a_file, pattern), SentencePieces(b_file)
         a_sizes, b_sizes = (np.array([len(t) for t in p.tokens], np.int64) for p in (a_pieces, b_pieces))
-        a_bytes, b_bytes = a_pieces.tokens.__getitem__, b_pieces.tokens.__getitem__
-        none: list[int] = []
+        none = np.zeros(0, np.uint32)
 
         def aligned(keys, texts: list[str]):
-            a, b = [], []
-            for value, theirs in zip(texts, b_pieces.encode_all(texts)):
-                ours, whole = none, b" " + value.encode()
-                if value and b"".join(map(b_bytes, theirs)) == whole:
-                    ours = a_pieces.encode(" " + value)
-                    if b"".join(map(a_bytes, ours)) != whole:
-                        ours = none
-                a.append(ours)
-                b.append(theirs if ours else none)
-            ids = [np.fromiter((i for one in side for i in one), np.uint32) for side in (a, b)]
-            edges = [np.concatenate([[0], np.cumsum([len(one) for one in side])]) for side in (a, b)]
+            sides = [], []
+            for value, theirs in zip(texts, b_pieces.encode(texts)):
+                ours = none if theirs is None or not value else np.array(a_pieces.encode(" " + value), np.uint32)
+                # A drops characters at most, so as many bytes are the same bytes.
+                fits = len(ours) and int(a_sizes[ours].sum()) == len(value.encode()) + 1
+                sides[0].append(ours if fits else none)
+                sides[1].append(np.frombuffer(theirs, np.uint32) if fits else none)
+            ids = [np.concatenate(side) for side in sides]
+            edges = [np.concatenate([[0], np.cumsum([len(one) for one in side])]) for side in sides]
             ends_a, ends_b = np.cumsum(a_sizes[ids[0]]), np.cumsum(b_sizes[ids[1]])
             used = np.flatnonzero(np.diff(edges[0]))
             cuts = shared_cuts(ends_a, ends_b, edges[0][used], edges[0][used + 1], edges[1][used], edges[1][used + 1])
@@ -182,9 +211,7 @@ def align(docs: DataFrame, vocabulary: str, pattern: str, model: str, key: str =
                     yield aligned(keys.slice(first, len(texts)), texts)
                     first, texts, held = i + 1, [], 0
 
-    rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    return rows.mapInArrow(tidy_batches(run), f"key {kind}, a_ids binary, b_ids binary, a_cuts binary, b_cuts binary"
-                           ).withColumnRenamed("key", key)
+    return run
 
 
 def _numbers(column) -> tuple[np.ndarray, np.ndarray]:
@@ -223,7 +250,7 @@ class GroupTexts:
         return hashlib.sha256("".join(out.tolist())[:-1].encode()).hexdigest()
 
 
-def _blocks(aligned: DataFrame, key: str) -> DataFrame:
+def _blocks(docs: DataFrame, aligner, key: str, text: str) -> DataFrame:
     """(block, payload, links, pairs, counts): rows of (key, n_a, n_b, n_groups, n_links, groups_sha256), the place in
     ``pairs`` of every link in order, the block's different pairs of linked ids, and how often it links each."""
     def run(batches):
@@ -254,22 +281,26 @@ def _blocks(aligned: DataFrame, key: str) -> DataFrame:
                     names=["block", "payload", "links", "pairs", "counts"])
                 number, first = number + 1, last
 
-    found = aligned.select(F.col(f"`{key}`").alias("key"), "a_ids", "b_ids", "a_cuts", "b_cuts").mapInArrow(
-        tidy_batches(run), "block long, payload binary, links binary, pairs array<long>, counts array<long>")
+    # Aligned batches go straight on: between two steps Spark would gather them into batches ten times as big.
+    rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    found = rows.mapInArrow(
+        tidy_batches(lambda batches: run(aligner(batches))), "block long, payload binary, links binary, pairs array<long>, counts array<long>")
     return stored(found)
 
 
-def count_links(aligned: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of every row of ``align``.
+def count_links(docs: DataFrame, vocabulary: str, pattern: str, model: str, key: str = "doc_id",
+                text: str = "text") -> DataFrame:
+    """(key, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of every row, from the groups of ``align``.
 
     Two tokens are linked if they end together; an id pair's count is the number of links of all rows. ``n_best`` are
     the row's links whose count is the highest that their B id has, ``count_sum`` sums the counts over its links.
     Links are added up in a block of about half a million tokens before they move, so a pair that every document links
     costs one entry a block; counts come back to the blocks by a join on the pair, which Catalyst broadcasts if the
-    stored size of the counts allows it. Rows without tokens: zeros and an empty digest. Empty input: no rows.
+    stored size of the counts allows it. Rows without tokens: zeros and an empty digest. Nulls, long and odd texts: as
+    ``align`` says. Empty input: no rows.
     """
-    kind = aligned.schema[key].dataType.simpleString()
-    blocks = _blocks(aligned, key)
+    kind = docs.schema[key].dataType.simpleString()
+    blocks = _blocks(docs, _aligner(vocabulary, pattern, model), key, text)
     totals = stored(blocks.select(F.explode(F.arrays_zip("pairs", "counts")).alias("p")).groupBy(
         F.col("p.pairs").alias("pair")).agg(F.sum("p.counts").alias("count")))
     b_id = F.expr(f"pair & {(1 << 32) - 1}")
@@ -302,5 +333,5 @@ def aligned_documents(spark, directory: str) -> DataFrame:
     import public_tokenizers
 
     docs = read(spark, directory, "documents", "doc_id", "text")
-    return count_links(align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN,
-                             public_tokenizers.path("piece_bpe_32k.model")))
+    return count_links(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN,
+                       public_tokenizers.path("piece_bpe_32k.model"))

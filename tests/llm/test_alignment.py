@@ -115,7 +115,7 @@ TEXTS = ["", None, "one two", "a  b\t\n c", "<|endoftext|> <s> </s> <0x41>", "ha
 def test_rows_against_plain_code(spark, odd, nothing, libraries, monkeypatch):
     texts = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)] + [(None, "one two")], "doc_id long, text string")
     for df in (texts.repartition(3), odd, nothing, table(spark, "/root/testdata/sf0.001", "documents")):
-        rows = alignment.count_links(alignment.align(df, *FILES)).collect()
+        rows = alignment.count_links(df, *FILES).collect()
         assert len(rows) == df.count()
         got, want = comparable(rows, plain_rows(libraries, df.select("doc_id", "text").collect()))
         assert got == want
@@ -125,11 +125,25 @@ def test_blocks_do_not_change_rows(spark, libraries, monkeypatch):
     monkeypatch.setattr(alignment, "BLOCK_TOKENS", 300)
     monkeypatch.setattr(alignment, "SLICE_CHARS", 2000)
     df = table(spark, "/root/testdata/sf0.001", "documents").limit(60)
-    got, want = comparable(alignment.count_links(alignment.align(df, *FILES)).collect(),
+    got, want = comparable(alignment.count_links(df, *FILES).collect(),
                            plain_rows(libraries, df.select("doc_id", "text").collect()))
     assert got == want
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.one_of(st.sampled_from("  ab the\n\t<0x41>▁é😀日　"), st.characters(codec="utf-8")), min_size=1, max_size=50))
+def test_parts_of_a_text_are_independent(pieces, libraries, text):
+    ids = libraries[1].encode(text)
+    same = b"".join(map(pieces.tokens.__getitem__, ids)) == b" " + text.encode()
+    assert pieces.encode([text, text + " x"])[0] == (np.array(ids, "<u4").tobytes() if same else None)
+
+
+@pytest.fixture(scope="module")
+def pieces():
+    with open(FILES[2], "rb") as file:
+        return alignment.SentencePieces(file.read())
+
+
 def test_groups_hold_every_token(spark, odd):
     for r in alignment.align(odd, *FILES).collect():
         ids, cuts = ([np.frombuffer(r[c], "<u4") for c in names] for names in (("a_ids", "b_ids"), ("a_cuts", "b_cuts")))

@@ -13,13 +13,21 @@ from pyspark.sql.window import Window
 
 from ..functions import constants as K, features as feat
 from ..functions.text import terms, tokens
-from ..scale import BROADCAST_ROWS, broadcast_if_small, computed, is_small, spread
+from ..scale import BROADCAST_ROWS, broadcast_if_small, computed, first_rows, is_small, spread
 from ..session import checkpointed
 
 CHUNK_ID = ["doc_id", "chunk_no"]
 # Class bits of a passage.
 _LONG, _NUMBER, _FORMULA, _FIGURE, _TERMS = 1, 2, 4, 8, 16
 CLASSES = 32
+# Passages with the most keys are scored first to bound every query's k-th score: 2 * k and as many as this.
+SEEDS = 128
+# A query is pruned by its bound if that leaves at most this share of its postings; others meet all of them.
+PRUNED_SHARE = 0.5
+# Postings of a key are parted by weight into blocks: from one block to the next the highest weight falls by sqrt(2).
+LAST_BLOCK = 31
+# What rounding may add to a score.
+SLACK = 1e-6
 # A term found in more passages than this is split into parts of that size when the join is shuffled.
 HOT_KEY_ROWS = 1_000_000
 # Intent bits of a query.
@@ -27,6 +35,9 @@ Q_TERMS, Q_NUMBERS, Q_ANY_NUMBER, Q_EQUATION, Q_REFS, Q_FIGURE = 1, 2, 4, 8, 16,
 INTENTS = 64
 # Kinds of shared keys that bring more than their weight.
 _E, _F, _P = 1, 2, 4
+KEY_KINDS = {"e": _E, "f": _F, "p": _P}
+# Columns of a passage that go along with its keys.
+PASSAGE = [*CHUNK_ID, "n_chars", "entry_len", "class"]
 
 
 KEY_TYPE = "array<struct<key:string,weight:double>>"
@@ -167,48 +178,158 @@ def class_bound() -> Column:
             + F.when(_asks(Q_FIGURE), K.FIGURE_PRESENCE_BONUS).otherwise(0.0) + F.lit(1e-6))
 
 
+def query_keys(profile: DataFrame) -> DataFrame:
+    """(query_id, intents, key, q_weight, kind): what a match of each of a query's keys adds, but for the weight that the
+    passage gives to it. A column ``room`` of the profile is kept."""
+    kind = F.substring("k.key", 1, 1)
+    weight = F.when(kind == "t", F.col("k.weight") / F.col("norm"))
+    for name, value in key_weights().items():
+        weight = weight.when(kind == name, value)
+    mark = F.lit(0)
+    for name, bit in KEY_KINDS.items():
+        mark = F.when(kind == name, bit).otherwise(mark)
+    room = [c for c in profile.columns if c == "room"]
+    return profile.select("query_id", "intents", "norm", *room, F.explode("keys").alias("k")).select(
+        "query_id", "intents", *room, F.col("k.key").alias("key"), weight.alias("q_weight"), mark.alias("kind"))
+
+
+def passage_keys(passages: DataFrame) -> DataFrame:
+    """One row per key of every passage, with the passage's columns and ``weight``."""
+    return passages.select(*PASSAGE, "norm", F.explode("keys").alias("k")).select(
+        *PASSAGE, F.col("k.key").alias("key"),
+        F.when(F.substring("k.key", 1, 1) == "t", F.col("k.weight") / F.col("norm")).otherwise(1.0).alias("weight"))
+
+
 def match_pairs(profile: DataFrame, passages: DataFrame, max_broadcast: int = BROADCAST_ROWS) -> DataFrame:
     """Scored (query, passage) pairs that share at least one key.
 
     Few queries: their keys are broadcast and the passages, hashed by id, are exploded, joined and
     aggregated in the same tasks, so pairs are never shuffled. Many queries: both sides are shuffled by
-    key, keys found in very many passages being split into parts first.
+    key, keys found in very many passages being split into parts first. If the profile has a column ``room``, only
+    passages of that entry length at most are met.
     """
-    kind = F.substring("k.key", 1, 1)
-    weights, bits = key_weights(), {"e": _E, "f": _F, "p": _P}
-    weight = F.when(kind == "t", F.col("k.weight") / F.col("norm"))
-    for name, value in weights.items():
-        weight = weight.when(kind == name, value)
-    mark = F.lit(0)
-    for name, bit in bits.items():
-        mark = F.when(kind == name, bit).otherwise(mark)
-    query_keys = profile.select("query_id", "intents", "norm", F.explode("keys").alias("k")).select(
-        "query_id", "intents", F.col("k.key").alias("key"), weight.alias("q_weight"), mark.alias("kind"))
-    ids = [*CHUNK_ID, "n_chars", "entry_len", "class"]
-    passage_keys = passages.select(*ids, "norm", F.explode("keys").alias("k")).select(
-        *ids, F.col("k.key").alias("key"),
-        F.when(kind == "t", F.col("k.weight") / F.col("norm")).otherwise(1.0).alias("weight"))
-    if is_small(query_keys, max_broadcast):
-        hits = passage_keys.join(F.broadcast(query_keys), "key")
+    asked, told = query_keys(profile), passage_keys(passages)
+    if is_small(asked, max_broadcast):
+        hits = told.join(F.broadcast(asked), "key")
     else:
-        hits = _split_hot_keys(passage_keys, query_keys)
-    pairs = hits.groupBy("query_id", "intents", *ids).agg(
+        hits = _split_hot_keys(told, asked)
+    if "room" in asked.columns:
+        hits = hits.filter(F.col("entry_len") <= F.col("room"))
+    pairs = hits.groupBy("query_id", "intents", *PASSAGE).agg(
         F.sum(F.col("q_weight") * F.col("weight")).alias("shared"), F.bit_or("kind").alias("kinds"))
-    return pairs.select("query_id", *ids, "intents", score_column(F.col("shared"), F.col("kinds")).alias("score"))
+    return pairs.select("query_id", *PASSAGE, "intents", score_column(F.col("shared"), F.col("kinds")).alias("score"))
+
+
+def _block(weight: Column) -> Column:
+    return F.least(F.greatest(F.floor(-2 * F.log2(weight)), F.lit(0)), F.lit(LAST_BLOCK)).cast("int")
+
+
+def bounded_keys(profile: DataFrame, passages: DataFrame, k: int, max_broadcast: int = BROADCAST_ROWS) -> DataFrame:
+    """Which postings of every query can lead to one of its k best passages.
+
+    (query_id, intents, key, q_weight, kind, n, bound, rest, lowest, last, pruned): a query's keys from the rarest on;
+    ``rest`` bounds what a passage can score that shares this key and none before it, ``lowest`` is the k-th best
+    score among the passages with the most keys, so the k-th best of all is no lower. ``last`` is the last block of
+    the key's postings that reaches it, null if none does. ``pruned``: whether that spares the query enough postings.
+    Keys that no passage has are left out.
+    """
+    asked = checkpointed(query_keys(profile))
+    told = passage_keys(passages)
+    wanted = broadcast_if_small(asked.select("key").distinct(), max_broadcast)
+    frequency = told.join(wanted, "key").groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.max("weight").alias("most"), F.min("weight").alias("least"))
+    widest = (passages.select(*CHUNK_ID, F.size("keys").alias("size")).orderBy(F.col("size").desc(), *CHUNK_ID)
+              .limit(2 * k + SEEDS).drop("size"))
+    # Twice k rows and a few: always small.
+    seeds = match_pairs(profile, passages.join(F.broadcast(widest), CHUNK_ID, "left_semi"), max_broadcast)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc()))
+    lowest = (seeds.select("query_id", "score", place.alias("place")).filter(F.col("place") == k)
+              .select("query_id", F.col("score").alias("lowest")))
+    extra = (F.when(F.col("kind") == _E, K.EQUATION_FORMULA_BONUS).when(F.col("kind") > 0, K.FIGURE_CAPTION_BONUS)
+             .otherwise(0.0))
+    onward = Window.partitionBy("query_id").orderBy("n", "key").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    rows = (asked.join(frequency, "key").withColumn("bound", F.col("q_weight") * F.col("most") + extra)
+            .withColumn("rest", F.sum("bound").over(onward) + class_bound() + SLACK).join(lowest, "query_id", "left"))
+    # The passage's weight that this key needs if all later keys gave their most.
+    need = (F.col("lowest") - (F.col("rest") - F.col("bound")) - extra) / F.col("q_weight")
+    last = F.when(F.col("lowest").isNull() | (F.col("rest") >= F.col("lowest")),
+                  F.least(_block(F.col("least")), F.when(need > 0, _block(need)).otherwise(LAST_BLOCK)))
+    rows = rows.withColumn("last", last)
+    whole = Window.partitionBy("query_id")
+    spared = (F.sum(F.when(F.col("last").isNotNull(), F.col("n"))).over(whole)
+              <= PRUNED_SHARE * F.sum("n").over(whole))
+    pruned = F.coalesce(F.max("lowest").over(whole).isNotNull() & spared, F.lit(False))
+    return checkpointed(rows.withColumn("pruned", pruned).select(
+        "query_id", "intents", "key", "q_weight", "kind", "n", "bound", "rest", "lowest", "last", "pruned"))
+
+
+def candidate_pairs(bounded: DataFrame, passages: DataFrame, max_broadcast: int = BROADCAST_ROWS) -> DataFrame:
+    """(query_id, doc_id, chunk_no) pairs of the pruned queries that their bounds leave."""
+    last = F.explode(F.sequence(F.lit(0), F.col("last"))).alias("block")
+    asked = bounded.filter("pruned AND last IS NOT NULL").select("query_id", "key", last)
+    told = passage_keys(passages).select(*CHUNK_ID, "key", _block(F.col("weight")).alias("block"))
+    if is_small(asked, max_broadcast):
+        hits = told.join(F.broadcast(asked), ["key", "block"])
+    else:
+        hits = _split_hot_keys(told, asked, ["key", "block"])
+    return hits.groupBy("query_id", *CHUNK_ID).agg(F.count(F.lit(1)).alias("hits")).drop("hits")
+
+
+def _scored(candidates: DataFrame, profile: DataFrame, passages: DataFrame, method: str) -> DataFrame:
+    """Scores of given pairs, from the two lists of keys."""
+    names = lambda keys: F.transform(keys, lambda k: k["key"])
+    asked = profile.select("query_id", "intents", F.col("norm").alias("q_norm"), F.col("keys").alias("asked"))
+    told = passages.select(*PASSAGE, "norm", F.col("keys").alias("told"))
+    both = candidates.join(told, CHUNK_ID).join(broadcast_if_small(asked), "query_id")
+    if method == "overlap":
+        # Every term weighs 1, so names are enough.
+        both = computed(both, shared=F.array_intersect(names(F.col("told")), names(F.col("asked"))))
+        terms_sum = F.size(F.filter("shared", lambda n: n.startswith("t"))).cast("double")
+    else:
+        met = F.filter("told", lambda k: F.array_contains(names(F.col("asked")), k["key"]))
+        both = computed(both, met=met)
+        weight = lambda k: F.element_at(F.filter("asked", lambda q: q["key"] == k["key"]), 1)["weight"]
+        terms_sum = F.aggregate(F.filter("met", lambda k: k["key"].startswith("t")), F.lit(0.0), lambda total, k:
+                                total + (weight(k) / F.col("q_norm")) * (k["weight"] / F.col("norm")))
+        both = both.withColumn("shared", names(F.col("met")))
+    count = lambda prefix: F.size(F.filter("shared", lambda n: n.startswith(prefix)))
+    total = terms_sum
+    for prefix, weight_ in key_weights().items():
+        total = total + count(prefix) * F.lit(weight_)
+    kinds = sum((F.when(count(name) > 0, bit).otherwise(0) for name, bit in KEY_KINDS.items()), F.lit(0))
+    both = computed(both, total=total, kinds=kinds)
+    return both.select("query_id", *PASSAGE, "intents", score_column(F.col("total"), F.col("kinds")).alias("score"))
+
+
+def top_matches(profile: DataFrame, passages: DataFrame, k: int, method: str = "overlap",
+                max_broadcast: int = BROADCAST_ROWS) -> DataFrame:
+    """The k best pairs of every query among all that share a key, as match_pairs gives them, with ``rank``.
+
+    Exact. A query whose bound spares it half of its postings or more meets only those that can lead to a score as high as
+    its k-th best: its rarest keys, of these the blocks of high weight, and scores each passage found there from the
+    two lists of keys. The others meet all their postings.
+    """
+    bounded = bounded_keys(profile, passages, k, max_broadcast)
+    pruned = bounded.filter("pruned").select("query_id").distinct()
+    few = _scored(candidate_pairs(bounded, passages, max_broadcast), profile.join(pruned, "query_id", "left_semi"), passages, method)
+    rest = checkpointed(profile.join(pruned, "query_id", "left_anti"))
+    found = few if rest.isEmpty() else few.unionByName(match_pairs(rest, passages, max_broadcast))
+    by_query = Window.partitionBy("query_id").orderBy(*rank_order())
+    return found.withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") <= k)
 
 
-def _split_hot_keys(passage_keys: DataFrame, query_keys: DataFrame) -> DataFrame:
+def _split_hot_keys(told: DataFrame, asked: DataFrame, on: list[str] = ["key"]) -> DataFrame:
     # Partial counts are combined before the shuffle; a key gets as many parts as its size asks for.
-    sizes = passage_keys.groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
+    sizes = told.groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
     hot = checkpointed(sizes.filter(F.col("rows") > HOT_KEY_ROWS)
                        .select("key", F.ceil(F.col("rows") / HOT_KEY_ROWS).cast("int").alias("parts")))
     hot = broadcast_if_small(hot)
     parts = F.coalesce("parts", F.lit(1))
-    left = passage_keys.join(hot, "key", "left").withColumn(
+    left = told.join(hot, "key", "left").withColumn(
         "part", F.pmod(F.xxhash64(*CHUNK_ID), parts).cast("int")).drop("parts")
-    right = query_keys.join(hot, "key", "left").withColumn(
+    right = asked.join(hot, "key", "left").withColumn(
         "part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
-    return left.join(right, ["key", "part"]).drop("part")
+    return left.join(right, [*on, "part"]).drop("part")
 
 
 def rank_order() -> list[Column]:
@@ -229,16 +350,14 @@ def top_chunks(queries: DataFrame, chunks: DataFrame, k: int = 3, method: str =
     by_query = Window.partitionBy("query_id").orderBy(*rank_order())
     keep = ["query_id", *CHUNK_ID, "n_chars", "score"]
     # Every task cuts its pairs to k per query before they are shuffled.
-    matched = checkpointed(match_pairs(profile, passages, max_broadcast)
-                           .withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") <= k)
-                           .select(*keep, "rank"))
+    matched = checkpointed(top_matches(profile, passages, k, method, max_broadcast).select(*keep, "rank"))
     reached = matched.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("lowest"))
     open_queries = (profile.drop("keys").join(reached, "query_id", "left")
                     .filter((F.coalesce("n", F.lit(0)) < k) | (F.col("lowest") <= class_bound())))
     if open_queries.isEmpty():
         return matched
     filled = (open_queries.withColumn("class", F.explode(F.sequence(F.lit(0), F.lit(CLASSES - 1))))
-              .join(F.broadcast(class_leaders(passages, 2 * k)), "class")
+              .join(broadcast_if_small(class_leaders(passages, 2 * k), max_broadcast), "class")
               .withColumn("score", class_score()).select(*keep)
               .join(matched.select("query_id", *CHUNK_ID), ["query_id", *CHUNK_ID], "left_anti"))
     return (matched.select(*keep).unionByName(filled)
@@ -247,9 +366,8 @@ def top_chunks(queries: DataFrame, chunks: DataFrame, k: int = 3, method: str =
 
 def class_leaders(passages: DataFrame, rows: int) -> DataFrame:
     """The longest passages of each class: at most CLASSES * rows rows, whatever the corpus."""
-    by_class = Window.partitionBy("class").orderBy(F.col("n_chars").desc(), "doc_id", "chunk_no")
-    return (passages.select("class", *CHUNK_ID, "n_chars").withColumn("place", F.row_number().over(by_class))
-            .filter(F.col("place") <= rows).drop("place"))
+    order = [F.col("n_chars").desc(), F.col("doc_id"), F.col("chunk_no")]
+    return first_rows(passages.select("class", *CHUNK_ID, "n_chars"), ["class"], order, F.lit(rows), "place").drop("place")
 
 
 def term_freq(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -22,6 +22,8 @@ from .session import checkpointed
 BROADCAST_ROWS = 1_000_000
 # Groups above this many rows are cut into blocks.
 GROUP_ROWS = 2_000_000
+# Parts of a group of which only the first rows are wanted.
+FIRST_PARTS = 32
 
 BLOCK = "_block"
 CONTEXT = "_context"
@@ -73,6 +75,20 @@ def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
             .withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_before"))
 
 
+def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], limit: Column, name: str,
+               parts: int = FIRST_PARTS) -> DataFrame:
+    """The first ``limit`` rows of every group, numbered from 1 in the column ``name``.
+
+    ``limit`` may read the keys. A group is cut in parts by a hash of its rows and each part to ``limit`` rows before
+    they meet, so no task holds a hot group, whatever the limit. ``order`` must leave no ties.
+    """
+    part = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(parts))
+    inside = Window.partitionBy(*keys, "_part").orderBy(*order)
+    some = df.withColumn("_part", part).withColumn("_n", F.row_number().over(inside)).filter(F.col("_n") <= limit)
+    whole = Window.partitionBy(*keys).orderBy(*order)
+    return some.drop("_part", "_n").withColumn(name, F.row_number().over(whole)).filter(F.col(name) <= limit)
+
+
 def order_number(column: Column, data_type: T.DataType) -> Column:
     """Ordering column as a double, so that quantiles can cut it."""
     if isinstance(data_type, (T.TimestampType, T.TimestampNTZType)):

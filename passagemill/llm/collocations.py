@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
@@ -211,6 +213,60 @@ def _send(shards: DataFrame, messages: DataFrame, depth: int, buckets: int, last
                                "bucket long, block long, first long, keys binary, counts binary, intervals binary"))
 
 
+def _number_words(shards: DataFrame, buckets: int, min_count: int) -> DataFrame:
+    """Answers (block, slots, numbers) about the shards' words that reach the minimum in their stratum, and rows of
+    block null with these words (numbers, strata, words, totals)."""
+    def send(batches):
+        for batch in batches:
+            for block, strata, words, counts in zip(*[batch.column(i) for i in range(4)]):
+                strata, words, counts = strata.values, words.values, counts.values
+                # One string for both: the stratum's length tells where it ends.
+                keys = pc.binary_join_element_wise(pc.binary_length(strata).cast(pa.string()), strata, words, ":")
+                hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, keys.to_pylist()), np.uint64, len(keys))
+                bucket = bucket_of(hashes, buckets)
+                order = np.argsort(bucket, kind="stable")
+                for b, start, stop in by_bucket(bucket[order]):
+                    part = pa.array(order[start:stop])
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([b], pa.int64()), pa.array([block.as_py()], pa.int64()),
+                        *[pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), values)
+                          for values in (part, keys.take(part), strata.take(part), words.take(part), counts.take(part))]],
+                        names=["bucket", "block", "slots", "keys", "strata", "words", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        flat = {name: pa.concat_arrays([c.flatten() for c in table.column(name).chunks])
+                for name in ("slots", "keys", "strata", "words", "counts")}
+        sizes = pc.list_value_length(table.column("slots")).to_numpy()
+        source = np.repeat(np.arange(len(sizes)), sizes)
+        word = flat["keys"].dictionary_encode().indices.to_numpy()
+        totals = np.zeros(int(word.max(initial=-1)) + 1, np.int64)
+        np.add.at(totals, word, flat["counts"].to_numpy())
+        often = np.flatnonzero(totals >= min_count)
+        name = np.full(len(totals), -1)
+        name[often] = (table.column("bucket")[0].as_py() << 36) + np.arange(len(often))
+        one = np.zeros(len(totals), np.int64)
+        one[word] = np.arange(len(word))
+        number, slots = name[word], flat["slots"].to_numpy()
+        blocks = table.column("block").to_pylist()
+        kept = np.flatnonzero(number >= 0)
+        rows = [dict(block=blocks[i], slots=slots[kept[a:b]] + 1, numbers=number[kept[a:b]]) for i, a, b in by_bucket(source[kept])]
+        if len(often):
+            heads = pa.array(one[often])
+            rows.append(dict(numbers=name[often], strata=flat["strata"].take(heads).to_pylist(),
+                             words=flat["words"].take(heads).to_pylist(), totals=totals[often]))
+        return pa.Table.from_pylist(rows, schema)
+
+    longs, texts = pa.list_(pa.int64()), pa.list_(pa.string())
+    schema = pa.schema([("block", pa.int64()), ("slots", longs), ("numbers", longs), ("strata", texts), ("words", texts),
+                        ("totals", longs)])
+    sent = shards.select("block", "strata", "words", "counts").mapInArrow(tidy_batches(send),
+        "bucket long, block long, slots array<long>, keys array<string>, strata array<string>, words array<string>, "
+        "counts array<long>")
+    return stored(sent.groupBy("bucket").applyInArrow(
+        tidy_table(add), "block long, slots array<long>, numbers array<long>, strata array<string>, words array<string>, "
+                         "totals array<long>"))
+
+
 def _add_up(sent: DataFrame, min_count: int) -> DataFrame:
     """Answers (block, slots, numbers) about the phrases that reach the minimum, and rows of block null with these
     phrases (numbers, prefixes, suffixes, totals)."""
@@ -263,19 +319,17 @@ def frequent_phrases(docs: DataFrame, text: str = "text", stratum: str = "lang",
         raise ValueError(f"phrases of 1 to {LONGEST} words")
     shards = store_shards(docs, text, stratum, other)
     buckets = max(1, -(-(shards.agg(F.sum("n_bytes")).first()[0] or 0) // BUCKET_BYTES))
-    words = shards.select(F.col("block").alias("block"), F.posexplode(F.arrays_zip("strata", "words", "counts")).alias("slot", "w")).select(
-        "block", (F.col("slot") + 1).alias("slot"), F.col("w.strata").alias("stratum"), F.col("w.words").alias("phrase"),
-        F.col("w.counts").alias("c"))
-    n_words = stored(words.groupBy("stratum").agg(F.sum("c").alias("n")))
-    level = stored(words.groupBy("stratum", "phrase").agg(F.sum("c").alias("a")).filter(F.col("a") >= min_count).select(
-        F.monotonically_increasing_id().alias("number"), F.lit(None).cast("long").alias("prefix"),
-        F.lit(None).cast("long").alias("suffix"), "stratum", "phrase", F.col("phrase").alias("last"), "a",
-        F.array("a").alias("firsts"), F.array("a").alias("rests")))
-    known = words.join(level.select("stratum", "phrase", "number"), ["stratum", "phrase"])
-    messages = known.groupBy("block").agg(F.collect_list(F.struct("slot", "number")).alias("s")).select(
-        "block", F.col("s.slot").cast("array<long>").alias("slots"), F.col("s.number").alias("numbers"),
-        F.lit(None).cast("binary").alias("intervals"))
-    levels, done = [level], []
+    n_words = stored(shards.select(F.explode(F.arrays_zip("strata", "counts")).alias("w")).groupBy(
+        F.col("w.strata").alias("stratum")).agg(F.sum("w.counts").alias("n")))
+    answers = _number_words(shards, buckets, min_count)
+    level = stored(answers.filter("block IS NULL").select(
+        F.explode(F.arrays_zip("numbers", "strata", "words", "totals")).alias("w")).select(
+        F.col("w.numbers").alias("number"), F.lit(None).cast("long").alias("prefix"), F.lit(None).cast("long").alias("suffix"),
+        F.col("w.strata").alias("stratum"), F.col("w.words").alias("phrase"), F.col("w.words").alias("last"),
+        F.col("w.totals").alias("a"), F.array("w.totals").alias("firsts"), F.array("w.totals").alias("rests")))
+    messages = answers.filter("block IS NOT NULL").select(
+        "block", "slots", "numbers", F.lit(None).cast("binary").alias("intervals"))
+    levels, done = [level], [answers]
     for depth in range(2, longest + 1):
         sent = _send(shards, messages, depth, buckets, depth == longest)
         discard(*done)

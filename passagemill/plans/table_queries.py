@@ -498,7 +498,7 @@ def govern_calls_cut(spark, d):
 
 @query("stream_govern_calls", f"{_GOVERNED} SELECT turn_key, seq, decision, repeats FROM g")
 def stream_govern_calls(spark, d):
-    return ST.run_to_table(ST.govern_calls(event_calls(ST.read_event_stream(spark, d))))
+    return ST.run_to_table(ST.govern_calls(event_calls(ST.read_event_stream(spark, d)))).drop("tool", "args")
 
 
 _LOOPS = """

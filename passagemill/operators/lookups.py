@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..scale import broadcast_if_small
+from ..session import checkpointed
 
 LANGUAGES = ("en", "fr", "es")
 
@@ -17,9 +17,13 @@ def resolve_language(prefs: Column | str) -> Column:
 
 
 def lookup_strings(wanted: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Text of each wanted key: in its language, else in English, else the key: (lang, key, text)."""
-    own = broadcast_if_small(catalog.select("lang", "key", F.col("value").alias("_own")))
-    english = broadcast_if_small(catalog.filter(F.col("lang") == "en").select("key", F.col("value").alias("_english")))
+    """Text of each wanted key: in its language, else in English, else the key: (lang, key, text).
+
+    The catalog is stored first, so Spark knows its bytes and broadcasts it only below its own limit.
+    """
+    known = checkpointed(catalog.select("lang", "key", "value"))
+    own = known.withColumnRenamed("value", "_own")
+    english = known.filter(F.col("lang") == "en").select("key", F.col("value").alias("_english"))
     return (wanted.join(own, ["lang", "key"], "left").join(english, "key", "left")
             .withColumn("text", F.coalesce("_own", "_english", "key")).drop("_own", "_english"))
 

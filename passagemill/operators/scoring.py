@@ -275,7 +275,7 @@ def candidate_pairs(bounded: DataFrame, passages: DataFrame, max_broadcast: int
     return hits.groupBy("query_id", *CHUNK_ID).agg(F.count(F.lit(1)).alias("hits")).drop("hits")
 
 
-def _scored(candidates: DataFrame, profile: DataFrame, passages: DataFrame, method: str) -> DataFrame:
+def score_pairs(candidates: DataFrame, profile: DataFrame, passages: DataFrame, method: str) -> DataFrame:
     """Scores of given pairs, from the two lists of keys."""
     names = lambda keys: F.transform(keys, lambda k: k["key"])
     asked = profile.select("query_id", "intents", F.col("norm").alias("q_norm"), F.col("keys").alias("asked"))
@@ -311,7 +311,7 @@ def top_matches(profile: DataFrame, passages: DataFrame, k: int, method: str = "
     """
     bounded = bounded_keys(profile, passages, k, max_broadcast)
     pruned = bounded.filter("pruned").select("query_id").distinct()
-    few = _scored(candidate_pairs(bounded, passages, max_broadcast), profile.join(pruned, "query_id", "left_semi"), passages, method)
+    few = score_pairs(candidate_pairs(bounded, passages, max_broadcast), profile.join(pruned, "query_id", "left_semi"), passages, method)
     rest = checkpointed(profile.join(pruned, "query_id", "left_anti"))
     found = few if rest.isEmpty() else few.unionByName(match_pairs(rest, passages, max_broadcast))
     by_query = Window.partitionBy("query_id").orderBy(*rank_order())
@@ -338,15 +338,16 @@ def rank_order() -> list[Column]:
 
 
 def top_chunks(queries: DataFrame, chunks: DataFrame, k: int = 3, method: str = "overlap",
-               max_broadcast: int = BROADCAST_ROWS) -> DataFrame:
+               max_broadcast: int = BROADCAST_ROWS, passages: DataFrame | None = None) -> DataFrame:
     """The k best passages of every query, among all passages: (query_id, doc_id, chunk_no, score, n_chars, rank).
 
     Exact, without pairing a query with passages it shares nothing with: inside a class a passage that
     shares a key always beats one that does not, so the first 2k passages of each class are enough to
-    complete a query whose own matches do not fill its list.
+    complete a query whose own matches do not fill its list. ``passages`` is the stored profile of the chunks, if there
+    is one already.
     """
     profile = checkpointed(query_profile(spread(queries, "query_id"), method))
-    passages = stored_profile(chunks, method)
+    passages = stored_profile(chunks, method) if passages is None else passages
     by_query = Window.partitionBy("query_id").orderBy(*rank_order())
     keep = ["query_id", *CHUNK_ID, "n_chars", "score"]
     # Every task cuts its pairs to k per query before they are shuffled.

@@ -54,6 +54,40 @@ def search_and_summarise(queries: DataFrame, results: DataFrame, page_texts: Dat
             "rungs": chunks.filter(F.col("chunk_no") == 0).join(owners, "doc_id").select("query_id", "url", "rung")}
 
 
+def deep_search(sessions: DataFrame, results: DataFrame, response_tokens: int = 500, web_cap: int = 6,
+                encyclopedia_cap: int = 2, derived: int = 3) -> dict[str, DataFrame]:
+    """A session's question and its derived queries to merged lists, packed context and sources.
+
+    sessions (query_id, query, derived); results (query_id, query_pos, provider, pos, doc_id, url, title, text), what
+    each provider (``web`` or another) gave for each query, equal documents with equal doc_id. Every query's lists are
+    cut to its caps and take turns in one merged list; its passages are scored by cosine against one sparse vector of
+    all terms of the session's queries, and packed.
+    """
+    plan = checkpointed(M.deep_search_plan(sessions, web_cap, encyclopedia_cap, derived))
+    caps = plan.select("query_id", F.col("pos").alias("query_pos"), "web_limit", "encyclopedia_limit")
+    web = F.col("provider") == "web"
+    lists = (results.join(caps, ["query_id", "query_pos"])
+             .filter(F.col("pos") < F.when(web, F.col("web_limit")).otherwise(F.col("encyclopedia_limit")))
+             .withColumn("list_no", F.col("query_pos") * 2 + F.when(web, 0).otherwise(1)))
+    merged = checkpointed(M.interleave(lists.drop("query_pos", "provider", "web_limit", "encyclopedia_limit"),
+                                       (web_cap + encyclopedia_cap + M.OVERFETCH) * derived))
+    # The counts of all queries' terms are those of their joined text.
+    joined = F.array_sort(F.collect_list(F.struct("pos", "query")))
+    queries = checkpointed(plan.groupBy("query_id").agg(
+        F.array_join(F.transform(joined, lambda q: q["query"]), " ").alias("query")))
+    docs = (merged.dropDuplicates(["doc_id"]).select("doc_id", F.col("title").alias("source"), "url",
+                                                     F.lit(None).cast("int").alias("page"), "text"))
+    chunks = checkpointed(C.chunk(docs, *K.WEB_CHUNK))
+    free = K.CONTEXT_WINDOW - K.INSTRUCTION_TOKENS - K.PROMPT_OVERHEAD_TOKENS - response_tokens
+    chars = int(free * K.CHARS_PER_TOKEN * K.UTILISATION["deep"])
+    scored = Z.score_own(queries, chunks, merged.select("query_id", "doc_id"), "cosine")
+    selected = checkpointed(Z.select_own_context(queries, scored, chars))
+    named = selected.join(chunks.select(*S.CHUNK_ID, "url"), S.CHUNK_ID)
+    return {"plan": plan, "merged": merged, "selected": selected, "context": Z.context_text(selected, chunks, chars),
+            "percent": Z.rebalance_percent(Z.source_share(named), merged.select("query_id", "url")),
+            "shown": merged.filter(F.col("merged_pos") <= web_cap + encyclopedia_cap)}
+
+
 def chat_turns(messages: DataFrame, chunks: DataFrame, response_tokens: int = 500, context_tokens: int = 3400,
                lang: str = "en") -> DataFrame:
     """Prompt of every user turn against a chunk table: (query_id, context, prompt).

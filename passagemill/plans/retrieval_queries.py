@@ -135,9 +135,12 @@ _BUDGET = 8198
 
 def _packed(queries: str, passages: str, budget: int) -> str:
     """CTEs ending in ``picked(query_id, doc_id, chunk_no, position, fallback)``: a fold over all passages in rank order."""
-    return f"""WITH {Q.scored_pairs(queries, passages)},
-lists AS (SELECT query_id, list({{'used': 0::BIGINT, 'need': entry_len::BIGINT, 'ids': [doc_id * 100000 + chunk_no]}}
-  ORDER BY score DESC, n_chars DESC, doc_id, chunk_no) AS l FROM scored GROUP BY query_id),
+    return f"WITH {Q.scored_pairs(queries, passages)}, {_folded('scored', budget)}"
+
+
+def _folded(scored: str, budget: int) -> str:
+    return f"""lists AS (SELECT query_id, list({{'used': 0::BIGINT, 'need': entry_len::BIGINT, 'ids': [doc_id * 100000 + chunk_no]}}
+  ORDER BY score DESC, n_chars DESC, doc_id, chunk_no) AS l FROM {scored} GROUP BY query_id),
 folded AS (SELECT query_id, l[1].ids AS best, list_reduce(list_prepend({{'used': 0::BIGINT, 'need': 0::BIGINT, 'ids': []::BIGINT[]}}, l),
   lambda a, x: CASE WHEN a.used + x.need + CASE WHEN len(a.ids) > 0 THEN 7 ELSE 0 END <= {budget}
     THEN {{'used': a.used + x.need + CASE WHEN len(a.ids) > 0 THEN 7 ELSE 0 END, 'need': 0::BIGINT, 'ids': list_concat(a.ids, x.ids)}}
@@ -309,6 +312,58 @@ def select_chunks(spark, d):
     return found.select("query_id", "doc_id", "chunk_no", "position")
 
 
+_DEEP_CHARS = int((K.CONTEXT_WINDOW - K.INSTRUCTION_TOKENS - K.PROMPT_OVERHEAD_TOKENS - 500) * K.CHARS_PER_TOKEN * K.UTILISATION["deep"])
+# What two providers gave for each query of a session, spread over the documents: (provider, list sizes).
+_PROVIDERS = (("web", 12), ("encyclopedia", 5))
+_SESSIONS = "SELECT conv_id AS query_id, list(text ORDER BY turn)[1:4] AS said FROM conversations WHERE role = 'user' GROUP BY conv_id"
+_DEEP = f"""sessions AS ({_SESSIONS}),
+said AS (SELECT query_id, {Q.unnest_at('said', 'pos', 'line')} FROM sessions),
+plan AS (SELECT query_id, min(pos) AS pos, arg_min({Q.trim('line')}, pos) AS query FROM said WHERE {Q.trim('line')} <> '' GROUP BY query_id, {Q.folded('line')}),
+size AS (SELECT count(*) AS n FROM documents),
+lists AS (SELECT query_id, i AS pos, pos * 2 + v AS list_no, (query_id * 31 + pos * 7 + v * 3 + i * 13) % n AS doc_id
+  FROM plan, size, range(2) AS w(v), range(9) AS r(i) WHERE i < CASE v WHEN 0 THEN 9 ELSE 2 END),
+once AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY pos, list_no) AS seen FROM lists SEMI JOIN documents USING (doc_id)),
+places AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos, list_no) AS merged_pos FROM once WHERE seen = 1),
+merged AS (SELECT * FROM places WHERE merged_pos <= 33)"""
+_JOINED_QUERIES = "SELECT query_id, string_agg(query, ' ' ORDER BY pos) AS query FROM plan GROUP BY query_id"
+
+
+@query("deep_search", f"""
+WITH {_DEEP}, {Q.scored_pairs(_JOINED_QUERIES, f"SELECT doc_id, CAST(chunk_no AS INT) AS chunk_no, source, CAST(NULL AS INT) AS page, text FROM ({chunks_sql(720, 120)})", 'cosine')},
+own AS (SELECT scored.* FROM scored JOIN merged USING (query_id, doc_id)), {_folded('own', _DEEP_CHARS).replace('lists AS', 'ranked AS').replace('FROM lists', 'FROM ranked')}
+SELECT query_id, doc_id, chunk_no, position, fallback, merged_pos FROM picked JOIN merged USING (query_id, doc_id)""")
+def deep_search(spark, d):
+    """A thread's first question with up to three later ones as derived queries: lists of two providers for each, merged,
+    scored by cosine against all queries' terms, packed."""
+    found = jobs.deep_search(*_deep_input(spark, d))
+    return found["selected"].select("query_id", "doc_id", "chunk_no", "position", "fallback").join(
+        found["merged"].select("query_id", "doc_id", "merged_pos"), ["query_id", "doc_id"])
+
+
+@query("deep_search_merged", f"WITH {_DEEP} SELECT query_id, doc_id, merged_pos, merged_pos <= 8 AS shown FROM merged")
+def deep_search_merged(spark, d):
+    """Merged lists of the same sessions, with what is shown of them."""
+    found = jobs.deep_search(*_deep_input(spark, d))
+    shown = found["shown"].select("query_id", "doc_id", F.lit(True).alias("s"))
+    return (found["merged"].join(shown, ["query_id", "doc_id"], "left")
+            .select("query_id", "doc_id", "merged_pos", F.coalesce("s", F.lit(False)).alias("shown")))
+
+
+def _deep_input(spark, d):
+    turns = table(spark, d, "conversations").filter(F.col("role") == "user")
+    said = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"])
+    sessions = turns.groupBy(F.col("conv_id").alias("query_id")).agg(said.alias("said")).select(
+        "query_id", F.get("said", F.lit(0)).alias("query"), F.slice("said", 2, 3).alias("derived"))
+    docs = table(spark, d, "documents")
+    asked = sessions.select("query_id", F.posexplode(F.concat(F.array("query"), F.col("derived"))).alias("query_pos", "q"))
+    place = lambda v: F.col("query_id") * 31 + F.col("query_pos") * 7 + v * 3 + F.col("pos") * 13
+    lists = [asked.select("query_id", "query_pos", F.lit(name).alias("provider"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("pos"))
+             .withColumn("doc_id", F.pmod(place(v), F.lit(docs.count()))) for v, (name, n) in enumerate(_PROVIDERS)]
+    given = docs.select("doc_id", F.concat(F.lit("https://"), "source", F.lit(".example.org/"), "doc_id").alias("url"),
+                        F.col("source").alias("title"), "text")
+    return sessions, lists[0].unionByName(lists[1]).join(given, "doc_id")
+
+
 @query("chat_turns")
 def chat_turns(spark, d):
     """Prompts of all user turns over chunked documents."""

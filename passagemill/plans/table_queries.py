@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import constants as K, urls as U
-from ..operators import calls as G, layout as L, lookups as J, merging as M, threads as T
+from ..operators import (calls as G, chunking as C, layout as L, lookups as J, merging as M, scoring as S,
+                         selection as Z, threads as T)
 from ..scale import OrderedGroups, numbered, spread
-from ..session import checkpointed, table
+from ..session import checkpointed, new_folder, table
 from ..sources import tables as A
 from ..streaming import calls as ST
 from . import jobs, sql as Q
-from .registry import query, user_turns
+from .registry import query, user_turns, whole_documents
 
 
 def conversations(spark, d):
@@ -501,6 +502,48 @@ def stream_govern_calls(spark, d):
     return ST.run_to_table(ST.govern_calls(event_calls(ST.read_event_stream(spark, d)))).drop("tool", "args")
 
 
+def _asking_calls(events, spark, d):
+    """Calls of the users that have a thread; a search asks for the thread's first question."""
+    first = conversations(spark, d).filter(F.col("role") == "user").groupBy("conv_id").agg(
+        F.min_by("text", "turn").alias("question")).select(F.col("conv_id").alias("user_id"), "question")
+    calls = event_calls(events).withColumn("user_id", F.substring_index("turn_key", ":", 1).cast("long"))
+    return calls.join(first, "user_id").withColumn("args", F.when(
+        F.col("tool") == ST.SEARCH_TOOL, F.col("question")).otherwise(F.col("args"))).drop("user_id", "question")
+
+
+def _corpus_search(spark, d):
+    """Search over all documents as chunks; their profile is stored once and serves every batch."""
+    chunks = checkpointed(C.chunk(spread(whole_documents(spark, d).drop("chunk_no"), "doc_id")))
+    passages = checkpointed(S.passage_profile(chunks))
+    return lambda queries: Z.search_corpus(queries, chunks, 500, passages=passages.repartition(*S.CHUNK_ID))
+
+
+@query("governed_replies")
+def governed_replies(spark, d):
+    """Replies to the search calls that the governor allows."""
+    calls = checkpointed(_asking_calls(table(spark, d, "events"), spark, d))
+    decided = G.govern_calls(calls).join(calls.select("turn_key", "seq", "tool", "args"), ["turn_key", "seq"])
+    return ST.answer_calls(decided, _corpus_search(spark, d))
+
+
+@query("stream_governed_replies")
+def stream_governed_replies(spark, d):
+    """The same over the events as a stream: governed on typed state, answered batch by batch."""
+    stream = ST.govern_calls(_asking_calls(ST.read_event_stream(spark, d), spark, d))
+    return ST.serve_to_end(stream, _corpus_search(spark, d), new_folder(spark, "streams"))
+
+
+@query("append_messages", """
+SELECT conv_id, turn, role, text, max(turn) OVER w AS updated_at, count(*) OVER w AS n_messages FROM conversations WINDOW w AS (PARTITION BY conv_id)""")
+def append_messages(spark, d):
+    """Messages appended in three batches, the second one twice, with their thread's last time and size."""
+    path = new_folder(spark, "messages")
+    sent = conversations(spark, d).withColumn("sent", F.col("turn"))
+    for batch in (0, 1, 1, 2):
+        A.append_messages(sent.filter(F.col("turn") % 3 == batch), path, batch)
+    return A.read_messages(spark, path).drop("sent").join(A.read_threads(spark, path), "conv_id")
+
+
 _LOOPS = """
 WITH c AS (SELECT user_id || event_type AS expression, ts, event_id AS call_id FROM events),
 g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS start FROM c WINDOW w AS (PARTITION BY expression ORDER BY ts, call_id)),

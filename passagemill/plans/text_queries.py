@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import constants as K, markup, text as X, urls as U
-from ..operators import chunking as C, layout as L, scoring as S
+from ..operators import chunking as C, layout as L, scoring as S, threads as P
 from ..scale import computed, spread
-from ..session import ensure_checkpoint_dir, table
+from ..session import ensure_checkpoint_dir, new_folder, table
 from ..sources import tables as A
 from . import sql as Q
 from .registry import query, whole_documents
@@ -79,7 +79,8 @@ SELECT page_id, pos, CASE WHEN pos % 3 = 1 THEN url ELSE url || '&p=' || pos END
   CASE WHEN pos % 4 = 0 THEN 'No description available' ELSE 'about "' || page_id || '"' END AS snippet
 FROM pages, (SELECT unnest([1, 2, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 17, 18, 19, 20]) AS pos)""")
 def extract_links(spark, d):
-    """Result pages built from the crawled URLs: 25 items each, the third without a link."""
+    """The crawled pages, which hold no results, with result pages built from their URLs behind: 25 items each, the third
+    without a link."""
     def item(pos):
         if pos == 3:
             return F.lit(' name="x">none</a>')
@@ -91,7 +92,7 @@ def extract_links(spark, d):
         return F.concat(F.lit(' href="'), link, F.lit('">'), title, F.lit(f'</a><{tag} class="x result__snippet">'), body,
                         F.lit(f"</{tag}>"))
 
-    parts = [F.lit("<html><a ")] + [item(i) for i in range(1, 26)]
+    parts = [F.concat("html", F.lit("<html><a "))] + [item(i) for i in range(1, 26)]
     html = F.concat_ws('<a class="result__a"', *parts)
     return A.extract_links(table(spark, d, "pages").select("page_id", html.alias("html")))
 
@@ -113,12 +114,21 @@ WITH files AS (SELECT doc_id, 'strings' || lpad(CAST(doc_id AS VARCHAR), 12, '0'
   FROM documents WHERE lang IN ('en', 'fr', 'es'))
 SELECT lang, source AS key, arg_max(CAST(n_chars AS VARCHAR), file) AS value FROM files GROUP BY ALL""")
 def read_catalogs(spark, d):
-    """One small catalog file per document: its source is the key, its length the text."""
-    files = table(spark, d, _DOCS).select(
-        F.concat(F.lit("/app/strings"), F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit("."), "lang",
-                 F.lit(".json")).alias("file"),
-        F.to_json(F.create_map("source", F.col("n_chars").cast("string"))).alias("value"))
-    return A.read_catalogs(files)
+    """Catalog files for every hundred documents and language, written and read back: a source is a key, the length of its
+    last document the text; later files win."""
+    group = F.lpad(F.floor(F.col("doc_id") / 100).cast("string"), 12, "0")
+    last = table(spark, d, _DOCS).filter(F.col("lang").isin("en", "fr", "es")).groupBy(
+        F.concat(F.lit("strings"), group, F.lit("."), "lang", F.lit(".json")).alias("name"), "source").agg(
+        F.max_by("n_chars", "doc_id").cast("string").alias("text"))
+    files = last.groupBy("name").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("source", "text")))).alias("value"))
+    return A.read_catalogs(_written(spark, files))
+
+
+def _written(spark, files):
+    """Files (name, value) written to the shared folder and read back from there."""
+    path = new_folder(spark, "files")
+    A.write_files(files, path)
+    return A.read_files(spark, path)
 
 
 @query("resolve_template", """
@@ -131,9 +141,10 @@ def resolve_template(spark, d):
     docs = table(spark, d, _DOCS)
     pairs = docs.select("source", "lang").distinct()
     named = lambda variant, head: pairs.select(
-        F.concat(F.lit("/app/prompt.normal."), "source", F.lit(variant), F.lit("."), "lang", F.lit(".txt")).alias("file"),
-        F.concat(F.lit(head), "source", F.lit("/"), "lang", F.lit("\n")).alias("value"))
-    templates = A.read_templates(named("", "Prompt ").unionByName(named(".instructions", "Instructions ")))
+        F.concat(F.lit("prompt.normal."), "source", F.lit(variant), F.lit("."), "lang", F.lit(".txt")).alias("name"),
+        F.concat(F.lit(head), "source", F.lit("/"), "lang").alias("value"))
+    files = named("", "Prompt ").unionByName(named(".instructions", "Instructions "))
+    templates = A.read_templates(_written(spark, files))
     templates = templates.filter(F.col("lang").isin("en", "fr", "es"))
     wanted = docs.select(F.col("doc_id").alias("query_id"), F.lit("normal").alias("mode"), F.col("source").alias("feature"),
                          F.when(F.col("doc_id") % 3 == 0, "instructions").when(F.col("doc_id") % 3 == 1, "other").alias("variant"),
@@ -141,6 +152,22 @@ def resolve_template(spark, d):
     return A.resolve_template(wanted, templates)
 
 
+@query("fill_template", """
+SELECT doc_id AS query_id, 'From ' || source || ' (' || lang || '): ' || n_chars || ' characters, ' || n_chars || '.' || chr(10) || '{{other}} stays' AS prompt
+FROM documents WHERE lang IN ('en', 'fr', 'es')""")
+def fill_template(spark, d):
+    """Templates of two lines, written as files and read back, filled for every document."""
+    docs = table(spark, d, _DOCS).filter(F.col("lang").isin("en", "fr", "es"))
+    files = docs.select("source", "lang").distinct().select(
+        F.concat(F.lit("prompt.normal."), "source", F.lit("."), "lang", F.lit(".txt")).alias("name"),
+        F.lit("From {{source}} ({{lang}}): {{n}} characters, {{n}}.\n{{other}} stays").alias("value"))
+    wanted = docs.select(F.col("doc_id").alias("query_id"), F.lit("normal").alias("mode"), F.col("source").alias("feature"),
+                         F.lit(None).cast("string").alias("variant"), "lang", F.col("n_chars").cast("string").alias("n"))
+    found = A.resolve_template(wanted, A.read_templates(_written(spark, files)))
+    filled = P.fill_template(F.col("text"), {"source": F.col("feature"), "lang": F.col("lang"), "n": F.col("n")})
+    return found.select("query_id", filled.alias("prompt"))
+
+
 @query("write_chunks", """
 SELECT lang, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY lang""")
 def write_chunks(spark, d):
@@ -289,12 +316,23 @@ def headings_to_bold(spark, d):
     return documents(spark, d).select("doc_id", X.headings_to_bold(titled).alias("text"))
 
 
+# Marks and what lies between them, with both neighbours; a fold carries whether a formula is open.
 @query("escape_currency", """
-SELECT doc_id, 'Cost \\$' || doc_id || ' or ' || doc_id || '\\$ but $x_' || doc_id || '$ and $$y$$ or \\$5 ' || replace(source, '$', '') AS text FROM documents""")
+WITH t AS (SELECT doc_id, 'Cost $' || doc_id || ' or ' || doc_id || '$ but $x_' || doc_id || '$ and $$y$$ or \\$5 ' || source || ' ' || text AS text
+  FROM documents),
+k AS (SELECT doc_id, regexp_extract_all(text, '\\\\\\$|\\$\\$|\\$|[^\\\\$]+|\\\\') AS k FROM t),
+z AS (SELECT doc_id, list_transform(range(1, len(k) + 1), lambda i: {'open': false, 'out': '', 'mark': k[i] = '$',
+  'digit': regexp_matches(coalesce(k[i - 1], ''), '\\p{N}$') OR regexp_matches(coalesce(k[i + 1], ''), '^\\p{N}'), 'piece': k[i]}) AS z FROM k),
+f AS (SELECT doc_id, list_reduce(list_prepend({'open': false, 'out': '', 'mark': false, 'digit': false, 'piece': ''}, z), lambda a, x: {
+  'open': CASE WHEN x.mark AND (a.open OR NOT x.digit) THEN NOT a.open ELSE a.open END,
+  'out': a.out || CASE WHEN x.mark AND NOT a.open AND x.digit THEN '\\$' ELSE x.piece END,
+  'mark': false, 'digit': false, 'piece': ''}) AS s FROM z)
+SELECT doc_id, s.out AS text FROM f""")
 def escape_currency(spark, d):
+    """A made-up sentence with every kind of dollar before each document's whole text."""
     raw = F.concat(F.lit("Cost $"), "doc_id", F.lit(" or "), "doc_id", F.lit("$ but $x_"), "doc_id",
-                   F.lit("$ and $$y$$ or \\$5 "), "source")
-    return computed(table(spark, d, _DOCS), t=raw).select("doc_id", X.escape_currency("t").alias("text"))
+                   F.lit("$ and $$y$$ or \\$5 "), "source", F.lit(" "), "text")
+    return computed(spread(table(spark, d, _DOCS), "doc_id"), t=raw).select("doc_id", X.escape_currency("t").alias("text"))
 
 
 @query("strip_document_wrappers", f"""

@@ -48,14 +48,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
 
 
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """Path of a folder in the shared checkpoint folder that nobody has used yet."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{kind}/{uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back.
 
     Survives the loss of executors, cuts the lineage, and gives later joins a known size.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid4().hex}"
+    path = new_folder(spark, "tables")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

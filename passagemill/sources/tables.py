@@ -8,8 +8,8 @@ from ..functions import constants as K
 from ..functions.budgets import clamp, context_tokens, tokens_of_words
 from ..functions.text import html_to_text, non_blank, snippet_text, trim_all
 from ..functions.urls import query_items, unwrap_redirect
-from ..scale import OrderedGroups, broadcast_if_small
-from ..session import table
+from ..scale import OrderedGroups
+from ..session import checkpointed, table
 
 MAX_LINKS = 20
 
@@ -115,15 +115,27 @@ def extract_citation_links(df: DataFrame, id_col: str, text_col: str) -> DataFra
     return df.select(id_col, F.posexplode(clean).alias("pos", "url"))
 
 
+def write_files(files: DataFrame, path: str) -> None:
+    """Small text files below ``path``: input (name, value). Each is a folder of its name with one part, so writers on
+    all executors can make them; a line end is added to every value. Names must be unique."""
+    files.select("name", "value").write.partitionBy("name").text(path)
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Small text files as rows: (file, value)."""
-    return spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name()).select("file", "value")
+    """All text files below ``path``, whole: (file, modified, value)."""
+    read = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+    return read.select(F.col("_metadata.file_path").alias("file"),
+                       F.col("_metadata.file_modification_time").alias("modified"), "value")
+
+
+def file_name(file: Column | str = "file") -> Column:
+    """Last part of a path; for a part of a file that write_files made, that file's name."""
+    return F.regexp_extract(file, "([^/=]+)(?:/part-[^/]*)?$", 1)
 
 
 def read_catalogs(files: DataFrame) -> DataFrame:
-    """String catalogs ``*.{lang}.json`` merged: (lang, key, value); the later file wins."""
-    name = F.substring_index("file", "/", -1)
-    entries = (files.select("file", F.regexp_extract(name, "\\.(en|fr|es)\\.json$", 1).alias("lang"),
+    """String catalogs ``*.{lang}.json`` merged: (lang, key, value); the later file in the order of paths wins."""
+    entries = (files.select("file", F.regexp_extract(file_name(), "\\.(en|fr|es)\\.json$", 1).alias("lang"),
                             F.explode(F.from_json("value", "map<string,string>")).alias("key", "text"))
                .filter(F.col("lang") != ""))
     return entries.groupBy("lang", "key").agg(F.max_by("text", "file").alias("value"))
@@ -131,7 +143,7 @@ def read_catalogs(files: DataFrame) -> DataFrame:
 
 def read_templates(files: DataFrame) -> DataFrame:
     """Prompt templates ``prompt.{mode}.{feature}[.variant].{lang}.txt``: (mode, feature, variant, lang, text)."""
-    files = files.withColumn("name", F.substring_index("file", "/", -1))
+    files = files.withColumn("name", file_name())
     pattern = "^prompt\\.([^.]+)\\.([^.]+)(?:\\.([^.]+))?\\.([a-z]{2})\\.txt$"
     part = lambda i: F.regexp_extract("name", pattern, i)
     return files.filter(F.col("name").rlike(pattern)).select(
@@ -140,11 +152,14 @@ def read_templates(files: DataFrame) -> DataFrame:
 
 
 def resolve_template(wanted: DataFrame, templates: DataFrame) -> DataFrame:
-    """Template of each request: its variant, else the base; input (query_id, mode, feature, variant, lang)."""
+    """Template of each request: its variant, else the base; input (query_id, mode, feature, variant, lang).
+
+    Templates are stored first, so Spark knows their bytes and broadcasts them only below its own limit.
+    """
     keys = ["mode", "feature", "lang"]
-    exact = broadcast_if_small(templates.filter(F.col("variant").isNotNull())
-                               .select(*keys, "variant", F.col("text").alias("_exact")))
-    base = broadcast_if_small(templates.filter(F.col("variant").isNull()).select(*keys, F.col("text").alias("_base")))
+    known = checkpointed(templates.select(*keys, "variant", "text"))
+    exact = known.filter(F.col("variant").isNotNull()).withColumnRenamed("text", "_exact")
+    base = known.filter(F.col("variant").isNull()).drop("variant").withColumnRenamed("text", "_base")
     return (wanted.join(exact, [*keys, "variant"], "left").join(base, keys, "left")
             .withColumn("text", F.coalesce("_exact", "_base")).drop("_exact", "_base"))
 
@@ -158,12 +173,33 @@ def write_chunks(chunks: DataFrame, path: str, partition: str = "lang") -> None:
      .option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path))
 
 
-def append_messages(messages: DataFrame, path: str, batch_id: int) -> None:
-    """Idempotent sink of a message stream: a repeated batch replaces its own partition."""
-    (messages.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
+def replace_batch(df: DataFrame, path: str, batch_id: int) -> None:
+    """Write rows as the partition of a batch; a batch that is run again replaces what it wrote before."""
+    (df.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path))
 
 
+def append_messages(messages: DataFrame, path: str, batch_id: int) -> None:
+    """Idempotent sink of a message stream (conv_id, sent and others): the batch's messages, and beside them what it
+    says of their threads. Both replace what the same batch wrote before."""
+    stored = checkpointed(messages)
+    replace_batch(stored, f"{path}/messages", batch_id)
+    said = stored.groupBy("conv_id").agg(F.max("sent").alias("updated_at"), F.count(F.lit(1)).alias("n_messages"))
+    replace_batch(said, f"{path}/threads", batch_id)
+
+
+def read_messages(spark: SparkSession, path: str) -> DataFrame:
+    """All messages that append_messages has written below ``path``."""
+    return spark.read.parquet(f"{path}/messages").drop("batch_id")
+
+
+def read_threads(spark: SparkSession, path: str) -> DataFrame:
+    """(conv_id, updated_at, n_messages): the threads' last times and sizes, merged from the partitions of all batches
+    without reading a message."""
+    return spark.read.parquet(f"{path}/threads").groupBy("conv_id").agg(
+        F.max("updated_at").alias("updated_at"), F.sum("n_messages").alias("n_messages"))
+
+
 SETTINGS_SCHEMA = T.StructType([
     T.StructField("maxDuckDuckGoResults", T.IntegerType()), T.StructField("maxWikipediaResults", T.IntegerType()),
     T.StructField("maxResponseTokens", T.IntegerType()), T.StructField("temperature", T.DoubleType()),

@@ -17,6 +17,7 @@ from ..functions.text import _col, non_blank, trim_all
 from ..functions.urls import is_http, is_raw_url, url_key, url_key_strict
 from ..scale import computed, spread
 from ..session import checkpointed
+from .components import connected
 
 OVERFETCH = 3
 
@@ -147,39 +148,84 @@ def copies(df: DataFrame) -> DataFrame:
     return (sets.join(firsts, ["_key", "terms"]).filter(F.col("id") != F.col("copy_of")).select("id", "copy_of"))
 
 
-def _prefix_join(groups: DataFrame, threshold: float) -> DataFrame:
-    """Similar pairs among distinct term sets (id, terms).
+def near_groups(df: DataFrame, threshold: float = 0.75) -> DataFrame:
+    """Every text with terms and the smallest id of the group that similarity of at least the threshold connects it to:
+    (id, group_id); input (id, text).
 
-    Terms are joined as hashes (a collision only adds a candidate) together with a length class, so sets
-    of unlike size never meet; the position of the shared term bounds what can still be shared.
+    As many rows as texts, however many are alike. Equal term sets are one. Then every set is compared with one set of
+    each of its lists, that of the smallest id: a star, not all pairs. What these links connect is one component, and
+    in the join that follows a list's largest component meets only the sets outside it, so no link between groups is
+    lost. Keys with very many rows are single rows on the other side, which AQE's skew join can split.
+    """
+    sets = checkpointed(_term_sets(df))
+    groups = checkpointed(sets.groupBy("_key", "terms").agg(F.min("id").alias("id")))
+    ordered = _by_rarity(groups)
+    prefix = checkpointed(_prefixes(ordered, threshold))
+    here = ["term", "size_class"]
+    heads = checkpointed(prefix.groupBy(*here).agg(F.min("id").alias("id_a"), F.count(F.lit(1)).alias("rows"))
+                         .filter("rows > 1").drop("rows"))
+    star = (prefix.select(F.col("id").alias("id_b"), *here).join(heads, here).filter("id_a <> id_b")
+            .select("id_a", "id_b").distinct())
+    first = checkpointed(_verified(star, ordered, groups, threshold).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
+    known = connected(first).withColumnRenamed("node", "id")
+    # Sets of neighbouring size classes meet in the class of one of them.
+    cells = checkpointed(prefix.join(known, "id", "left").withColumn("root", F.coalesce("root", "id")).withColumn(
+        "by", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn("size_class", F.col("size_class") + F.col("by")))
+    by_root = cells.groupBy(*here, "root").agg(F.count(F.lit(1)).alias("c"))
+    largest = by_root.groupBy(*here).agg(F.max_by("root", F.struct("c", "root")).alias("largest"),
+                                         F.count(F.lit(1)).alias("roots")).filter("roots > 1").drop("roots")
+    outside = cells.join(largest, here).filter("root <> largest").select(
+        *_side("a"), *here, F.col("root").alias("root_a"), F.col("by").alias("by_a"))
+    every = cells.select(*_side("b"), *here, F.col("root").alias("root_b"), F.col("by").alias("by_b"))
+    rest = (outside.join(every, here).filter((F.col("root_a") != F.col("root_b")) & ((F.col("by_a") == 0) | (F.col("by_b") == 0))
+                                             & _may_reach(threshold))
+            .select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct())
+    second = _verified(rest, ordered, groups, threshold).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    roots = connected(first.unionByName(second)).withColumnRenamed("node", "id")
+    named = groups.join(roots, "id", "left").select("_key", "terms", F.coalesce("root", "id").alias("group_id"))
+    return sets.join(named, ["_key", "terms"]).select("id", "group_id")
+
+
+def _by_rarity(groups: DataFrame) -> DataFrame:
+    """(id, n, terms) of distinct term sets: hashes of the terms that several sets hold, rarest first, and the size.
+
+    A collision of hashes only adds a candidate. A term of one set only cannot be shared: it counts for the size, not
+    for the join. The order only has to be the same for all sets.
     """
-    # Rarest terms first; the order only has to be the same for all sets.
     hashed = checkpointed(groups.select("id", F.transform("terms", lambda t: F.xxhash64(t)).alias("terms")))
     frequency = hashed.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    # A term of one set only cannot be shared: it counts for the size, not for the join.
     shared = frequency.filter(F.col("df") > 1)
     long = hashed.select("id", F.size("terms").alias("n"), F.explode("terms").alias("term")).join(shared, "term")
     ordered = long.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "term"))).alias("by_rarity"))
-    ordered = checkpointed(ordered.select("id", "n", F.transform("by_rarity", lambda t: t["term"]).alias("terms")))
+    return checkpointed(ordered.select("id", "n", F.transform("by_rarity", lambda t: t["term"]).alias("terms")))
+
+
+def _prefixes(ordered: DataFrame, threshold: float) -> DataFrame:
+    """(id, n, alone, size_class, at, term): the rarest terms, of which sets above the threshold must share one. Sizes
+    within the threshold lie in the same class or in neighbouring ones."""
     n_alone = F.col("n") - F.size("terms")
     keep = F.greatest(F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1 - n_alone, F.lit(0)).cast("int")
     size_class = F.floor(F.log(F.col("n")) / F.lit(-math.log(threshold)) + 1e-9).cast("int")
-    prefix = ordered.select("id", "n", n_alone.alias("alone"), size_class.alias("size_class"),
-                            F.posexplode(F.slice("terms", F.lit(1), keep)).alias("at", "term"))
-    side = lambda s: [F.col("id").alias(f"id_{s}"), F.col("n").alias(f"n_{s}"), (F.col("at") + F.col("alone")).alias(f"at_{s}")]
-    # Sizes within the threshold lie in the same class or in neighbouring ones.
-    a = prefix.select(*side("a"), "term", "size_class")
-    b = prefix.select(*side("b"), "term", F.explode(F.array(*[F.col("size_class") + i for i in (-1, 0, 1)])).alias("size_class"))
-    # What can still be shared from these positions on must reach the overlap the threshold asks for.
+    return ordered.select("id", "n", n_alone.alias("alone"), size_class.alias("size_class"),
+                          F.posexplode(F.slice("terms", F.lit(1), keep)).alias("at", "term"))
+
+
+def _side(s: str) -> list[Column]:
+    return [F.col("id").alias(f"id_{s}"), F.col("n").alias(f"n_{s}"), (F.col("at") + F.col("alone")).alias(f"at_{s}")]
+
+
+def _may_reach(threshold: float) -> Column:
+    """Sizes within the threshold, and enough terms from the shared one on to reach the overlap that it asks for."""
     needed = F.lit(threshold / (1 + threshold)) * (F.col("n_a") + F.col("n_b")) - 1e-9
     most = F.least("at_a", "at_b") + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    found = (a.join(b, ["term", "size_class"])
-             .filter((F.col("id_a") < F.col("id_b"))
-                     & (F.col("n_a") >= F.col("n_b") * threshold - 1e-9) & (F.col("n_b") >= F.col("n_a") * threshold - 1e-9)
-                     & (most >= needed))
-             .groupBy("id_a", "id_b").agg(F.count(F.lit(1)).alias("_hits")))
+    return ((F.col("n_a") >= F.col("n_b") * threshold - 1e-9) & (F.col("n_b") >= F.col("n_a") * threshold - 1e-9)
+            & (most >= needed))
+
+
+def _verified(found: DataFrame, ordered: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
+    """(id_a, id_b, similarity) of the candidates that reach the threshold."""
     texts = groups.select("id", "terms")
-    pairs = (found.join(ordered.select(F.col("id").alias("id_a"), "n", F.col("terms").alias("h_a")), "id_a")
+    pairs = (found.select("id_a", "id_b").join(ordered.select(F.col("id").alias("id_a"), "n", F.col("terms").alias("h_a")), "id_a")
              .withColumnRenamed("n", "n_a")
              .join(ordered.select(F.col("id").alias("id_b"), "n", F.col("terms").alias("h_b")), "id_b")
              .withColumnRenamed("n", "n_b"))
@@ -192,6 +238,21 @@ def _prefix_join(groups: DataFrame, threshold: float) -> DataFrame:
             .filter(F.col("similarity") >= threshold).select("id_a", "id_b", "similarity"))
 
 
+def _prefix_join(groups: DataFrame, threshold: float) -> DataFrame:
+    """Similar pairs among distinct term sets (id, terms).
+
+    Terms are joined as hashes together with a length class, so sets of unlike size never meet; the position of the
+    shared term bounds what can still be shared.
+    """
+    ordered = _by_rarity(groups)
+    prefix = _prefixes(ordered, threshold)
+    a = prefix.select(*_side("a"), "term", "size_class")
+    b = prefix.select(*_side("b"), "term", F.explode(F.array(*[F.col("size_class") + i for i in (-1, 0, 1)])).alias("size_class"))
+    found = (a.join(b, ["term", "size_class"]).filter((F.col("id_a") < F.col("id_b")) & _may_reach(threshold))
+             .groupBy("id_a", "id_b").agg(F.count(F.lit(1)).alias("_hits")))
+    return _verified(found, ordered, groups, threshold)
+
+
 def first_successes(fetches: DataFrame, limit: int, overfetch: int = OVERFETCH) -> DataFrame:
     """The first ``limit`` successful fetches by completion among the first limit + overfetch candidates."""
     order = Window.partitionBy("query_id").orderBy("completed_at", "pos")

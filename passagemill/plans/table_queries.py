@@ -143,6 +143,19 @@ def near_duplicate_documents(spark, d):
     return M.near_duplicates(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
+@query("near_groups", f"""
+WITH RECURSIVE pairs AS ({_near("documents", "doc_id", 0.75)}),
+t AS (SELECT doc_id, list_sort({Q.query_terms('text')}) AS terms FROM documents),
+one AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY terms) AS head FROM t WHERE len(terms) > 0),
+links AS (SELECT id_a AS a, id_b AS b FROM pairs UNION SELECT id_b, id_a FROM pairs),
+reach AS (SELECT DISTINCT head AS id, head AS root FROM one UNION SELECT b, root FROM reach JOIN links ON a = id),
+least AS (SELECT id, min(root) AS root FROM reach GROUP BY id)
+SELECT doc_id AS id, root AS group_id FROM one JOIN least ON least.id = head""")
+def near_groups(spark, d):
+    """Every document with the smallest id of its group of near copies."""
+    return M.near_groups(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
+
+
 @query("copies", f"""
 WITH s AS (SELECT doc_id, list_sort({Q.query_terms('text')}) AS terms FROM documents)
 SELECT id, copy_of FROM (SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY terms) AS copy_of FROM s WHERE len(terms) > 0) WHERE id <> copy_of""")

@@ -180,10 +180,9 @@ def headings_to_bold(column: Column | str) -> Column:
 
 
 def digit_powers(column: Column | str) -> Column:
-    """``10^6`` and ``10^{6}`` in upright formula notation."""
-    styled = "\\\\mathrm{$1}^\\\\mathrm{$2}"
-    text = F.regexp_replace(_col(column), "(?<!\\\\mathrm\\{)(\\d+)\\^\\{([^{}]+)\\}", styled)
-    return F.regexp_replace(text, "(?<!\\\\mathrm\\{)(\\d+)\\^(-?\\d+)", styled)
+    """``10^6`` and ``10^{6}`` in upright formula notation; of the two ways to write an exponent one group is empty."""
+    power = "(?<!\\\\mathrm\\{)([0-9]+)\\^(?:\\{([^{}]+)\\}|(-?[0-9]+))"
+    return F.regexp_replace(_col(column), power, "\\\\mathrm{$1}^\\\\mathrm{$2$3}")
 
 
 def split_commands(column: Column | str) -> Column:

@@ -58,3 +58,33 @@ def test_many_copies_cost_as_many_rows(spark):
                                               F.lit(" more"), F.col("id") % 3).alias("text"))
     found = M.near_groups(df).groupBy("group_id").count().collect()
     assert [(r.group_id, r["count"]) for r in found] == [(0, n)]
+
+
+def test_close_pairs_across_blocks(spark, monkeypatch):
+    # Blocks of few sets: pairs of one block, of two blocks of a class and of neighbouring classes.
+    monkeypatch.setattr(M, "CELL_SETS", 7)
+    rng = random.Random(11)
+    words = [f"word{i}" for i in range(50)]
+    texts = []
+    for _ in range(15):
+        start = rng.sample(words, rng.randint(1, 40))
+        texts += [" ".join(start[:len(start) - rng.randint(0, 5)] + rng.sample(words, rng.randint(0, 3))) for _ in range(6)]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(None, texts[0] + " more"), (500, None)], "id long, text string").repartition(3)
+    sets = {}
+    for i, t in enumerate(texts):
+        if t:
+            sets.setdefault(frozenset(t.split()), i)
+    for threshold in (0.5, 0.75, 0.9):
+        expect = {(i, j): round(len(a & b) / len(a | b), 9) for a, i in sets.items() for b, j in sets.items()
+                  if i < j and len(a & b) >= threshold * len(a | b)}
+        rows = M.near_duplicates(df, threshold).collect()
+        assert {(r.id_a, r.id_b): r.similarity for r in rows} == expect and len(rows) == len(expect)
+
+
+def test_candidates_are_not_shuffled(spark, capsys):
+    # Sets that share a term of their prefixes but too little besides: they met in pairs behind a shuffle, with their terms.
+    rows = [(i, f"rare{i % 2} " + " ".join(f"own{i}x{j} common{j}" for j in range(8))) for i in range(40)]
+    found = M.near_duplicates(spark.createDataFrame(rows, "id long, text string"))
+    found.explain()
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin" not in plan and "FlatMapGroupsInArrow" in plan and found.isEmpty()

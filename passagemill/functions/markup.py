@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from .text import _MARK, _col, decode_entities, trim_all, trim_line
@@ -31,16 +33,19 @@ def html_tables(column: Column | str) -> Column:
     return F.transform(F.regexp_extract_all(_col(column), F.lit(_TABLE), 1), table_rows)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is read; the optimizer keeps no common parts of lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def markdown_table(rows: Column) -> Column:
     """Markdown text of rows of cells, padded to the widest row; first row is the header."""
-    width = F.array_max(F.transform(rows, F.size))
-    lines = F.transform(rows, lambda cells: F.concat(
-        F.lit("| "),
-        F.array_join(F.concat(cells, F.array_repeat(F.lit(""), F.greatest(width - F.size(cells), F.lit(0)))), " | "),
-        F.lit(" |")))
-    rule = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), width))
-    return F.array_join(
-        F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))), "\n")
+    padded = lambda cells, width: F.concat(cells, F.array_repeat(F.lit(""), F.greatest(width - F.size(cells), F.lit(0))))
+    rule = lambda width: F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), width))
+    lines = lambda width: F.transform(rows, lambda cells: F.concat(F.lit("| "), F.array_join(padded(cells, width), " | "), F.lit(" |")))
+    text = lambda width: bound(lines(width), lambda lines: F.array_join(F.concat(
+        F.slice(lines, 1, 1), F.array(rule(width)), F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))), "\n"))
+    return bound(F.array_max(F.transform(rows, F.size)), text)
 
 
 def tables_to_markdown(column: Column | str) -> Column:
@@ -50,8 +55,8 @@ def tables_to_markdown(column: Column | str) -> Column:
     pieces = F.split(F.regexp_replace(html, _TABLE, f"{_MARK}$1{_MARK}"), _MARK)
 
     def block(piece: Column) -> Column:
-        rows = table_rows(piece)
-        return F.when(F.size(rows) > 0, F.concat(F.lit("\n\n"), markdown_table(rows), F.lit("\n\n"))).otherwise("")
+        return bound(table_rows(piece), lambda rows: F.when(
+            F.size(rows) > 0, F.concat(F.lit("\n\n"), markdown_table(rows), F.lit("\n\n"))).otherwise(""))
 
     rebuilt = F.array_join(F.transform(pieces, lambda p, i: F.when(i % 2 == 1, block(p)).otherwise(p)), "")
     return F.when(html.rlike("(?i)<table[^>]*>"), rebuilt).otherwise(html)

@@ -276,7 +276,7 @@ def html_tables(spark, d):
         F.when(F.col("c_custkey") % 2 == 0, "<tr><td>only</td></tr>").otherwise(""), F.lit("</TABLE>after"))
     base = computed(table(spark, d, "customer").select(F.col("c_custkey").alias("page_id"), html.alias("html")),
                     html=F.col("html"))
-    return base.select("page_id", markup.tables_to_markdown("html").alias("text"),
+    return spread(base, "page_id").select("page_id", markup.tables_to_markdown("html").alias("text"),
                        F.size(F.get(markup.html_tables("html"), F.lit(0))).alias("n_rows"))
 
 

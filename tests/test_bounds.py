@@ -93,3 +93,36 @@ def test_first_rows_of_hot_groups(spark):
     for g, i, v in rows:
         plain.setdefault(g, []).append((-v, i))
     assert {(r.g, r.id, r.place) for r in found} == {(g, i, n) for g, l in plain.items() for n, (_, i) in enumerate(sorted(l)[:700], 1)}
+
+
+@pytest.mark.parametrize("method", ["overlap", "cosine"])
+def test_cells_with_repeated_rows_rooms_and_last_ones(spark, method, monkeypatch):
+    # Small blocks, rows that repeat, null ids; then only what fits and comes behind the third one.
+    monkeypatch.setattr(S, "PASSAGE_KEYS", 150)
+    monkeypatch.setattr(S, "QUERY_KEYS", 60)
+    chance = random.Random(9)
+    words = [f"term{int(chance.paretovariate(0.7)) % 60}" for _ in range(4000)]
+    marks = ["", " see eq. 3 x = 1", " Fig. 2", " over 25 km", " equation 3", " figure 2 on page 1"]
+    text = lambda n: " ".join(chance.sample(words, n)) + chance.choice(marks)
+    rows = [(i, i % 2, "s", "u", i % 3, text(chance.randint(1, 20))) for i in range(90)]
+    chunks = spark.createDataFrame(rows + rows[:5] + [(None, 0, "s", "u", None, text(8))],
+                                   "doc_id long, chunk_no int, source string, url string, page int, text string")
+    asked = [(i, text(chance.randint(0, 8))) for i in range(40)]
+    queries = spark.createDataFrame(asked + asked[:3] + [(None, "term1 term2")], "query_id long, query string")
+    profile, passages = checkpointed(S.query_profile(queries, method)), S.stored_profile(chunks, method)
+    listed = lambda df: sorted(map(str, df.select("query_id", "doc_id", "chunk_no", F.round("score", 9), "n_chars", "entry_len", "class", "rank").collect()))
+    plain = checkpointed(S.top_matches(profile, passages, 4, method, bound_from=10 ** 12))
+    assert listed(S.top_matches(profile, passages, 4, method, bound_from=0)) == listed(plain)
+    last = plain.filter("rank = 3").select("query_id", S.rank_key().alias("last"), F.col("entry_len").alias("room"))
+    behind = checkpointed(profile.join(last, "query_id"))
+    found = S.top_matches(behind, passages, 4, method, bound_from=0)
+    assert listed(found) == listed(S.top_matches(behind, passages, 4, method, bound_from=10 ** 12)) and not found.isEmpty()
+
+
+def test_many_pairs_stay_in_their_tasks(spark, capsys):
+    rows = [(i, 0, "s", "u", None, f"alpha beta gamma{i}") for i in range(50)]
+    chunks = spark.createDataFrame(rows, "doc_id long, chunk_no int, source string, url string, page int, text string")
+    queries = spark.createDataFrame([(i, f"alpha beta gamma{i}") for i in range(50)], "query_id long, query string")
+    S.top_matches(checkpointed(S.query_profile(queries)), S.stored_profile(chunks), 3, bound_from=0).explain()
+    plan = capsys.readouterr().out
+    assert "FlatMapCoGroupsInArrow" in plan and "HashAggregate" not in plan

@@ -89,3 +89,11 @@ def test_numbers_and_references(spark):
 
 def test_query_folding(spark):
     assert value(spark, M.fold_query, "  Été  À\tParis ") == ["ete a paris"]
+
+
+def test_tables_of_one_file_are_spread(spark, tmp_path):
+    from passagemill.plans.catalog import QUERIES
+
+    spark.range(100).selectExpr("id AS c_custkey", "concat('n', id) AS c_name", "id % 5 AS c_nationkey").coalesce(1).write.parquet(
+        str(tmp_path / "customer.parquet"))
+    assert "REPARTITION" in QUERIES["html_tables"](spark, str(tmp_path))._jdf.queryExecution().toString()

@@ -88,3 +88,17 @@ def test_candidates_are_not_shuffled(spark, capsys):
     found.explain()
     plan = capsys.readouterr().out
     assert "SortMergeJoin" not in plan and "FlatMapGroupsInArrow" in plan and found.isEmpty()
+
+
+def test_pairs_of_copies(spark, monkeypatch):
+    # Equal term sets are pairs as well, and each text of a set is beside each of a close one; sets of many texts are cut.
+    monkeypatch.setattr(M, "COPIES_AT_ONCE", 2)
+    texts = ["red green blue grey", "grey blue green red", "red green blue grey more", "more red green blue grey", "red green blue grey",
+             "alone here", "", None, "other words", "other words"]
+    rows = list(enumerate(texts)) + [(0, texts[0]), (None, texts[0])]
+    sets = {i: frozenset((t or "").split()) for i, t in enumerate(texts)}
+    expect = sorted((i, j, round(len(a & b) / len(a | b), 9)) for i, a in sets.items() for j, b in sets.items()
+                    if i < j and a and b and len(a & b) >= 0.75 * len(a | b))
+    df = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    found = M.near_duplicates(df, fold_copies=False).collect()
+    assert sorted((r.id_a, r.id_b, r.similarity) for r in found) == expect and len(expect) == 11

@@ -126,3 +126,16 @@ def test_many_pairs_stay_in_their_tasks(spark, capsys):
     S.top_matches(checkpointed(S.query_profile(queries)), S.stored_profile(chunks), 3, bound_from=0).explain()
     plan = capsys.readouterr().out
     assert "FlatMapCoGroupsInArrow" in plan and "HashAggregate" not in plan
+
+
+@pytest.mark.parametrize("method", ["overlap", "cosine"])
+def test_what_is_shuffled_to_cells_is_packed(spark, method):
+    # Every key of a passage went to each block of queries as a string; now a few numbered pieces hold all passages.
+    rows = [(i, 0, "s", "u", i % 3, " ".join(f"word{(i * j) % 300}" for j in range(40)) + " word7" * (i % 400)) for i in range(300)]
+    chunks = spark.createDataFrame(rows, "doc_id long, chunk_no int, source string, url string, page int, text string").coalesce(2)
+    packed = S._packed(S.passage_profile(chunks, method))
+    assert packed.count() == 2 and packed.agg(F.sum(F.size("doc_id"))).first()[0] == 300
+    keys = F.sum(F.length("codes") + F.length("counts"))
+    told = S.passage_profile(chunks, method).agg(F.sum(F.size("keys")), F.sum(F.aggregate(
+        "keys", F.lit(0), lambda n, k: n + F.length(k["key"])))).first()
+    assert packed.agg(keys).first()[0] <= 4 * told[0] < told[1]
